@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.leakage import leaked
+from sievework.llm.mojibake import garbled, restore
 from sievework.llm.tokens import VOCABULARIES, decode_corpus, encode_corpus, pieces, read_ranks
-from sievework.session import table
+from sievework.session import cut, table
 
 
 def p6_ids(spark: SparkSession, d: str, *, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken") -> DataFrame:
@@ -36,8 +37,17 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.round(F.max("coverage"), 6).alias("coverage"), F.max("longest_run").alias("longest_run"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return restore(docs, cut(garbled(docs, "doc_id", "text")), "doc_id", "text").distinct()
+
+
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_scores": p7_scores}
+    return {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
