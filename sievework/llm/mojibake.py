@@ -134,6 +134,8 @@ def _plausible(text: str) -> bool:
     if len(text) < 8 or any(c < " " and c not in "\r\n\t" or "\x7f" <= c < "\xa0" or "\ue000" <= c <= "\uf8ff" for c in text):
         return False
     words = sum(c.isalpha() or c == " " for c in text)
+    if text.isascii() and len(text) >= 16 and re.search("[A-Za-z]{5}", text):
+        return words >= 0.55 * len(text)
     wide = sum(c > "\u2fff" for c in text)
     return words >= 0.75 * len(text) and wide <= 0.8 * len(text)
 

@@ -6,11 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.leakage import leaked
+from sievework.functions.paths import hex_number
 from sievework.llm.mojibake import garbled, restore
+from sievework.llm.parsing import parse_files, parse_rates
 from sievework.llm.tokens import VOCABULARIES, decode_corpus, encode_corpus, pieces, read_ranks
 from sievework.session import cut, table
 
 
+def _parsed(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
+    return parse_files(table(spark, d, "source_files"), keep, text="source_text", language="detected_language", path="relative_path")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d, ["file_id"]).where(~F.col("valid")).select("file_id").distinct()
+
+
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Every error of every invalid file; ``place`` counts from 0, the first being the cause."""
+    bad = _parsed(spark, d, ["file_id", "detected_language"]).where(~F.col("valid"))
+    return bad.select("file_id", "detected_language", F.posexplode("errors").alias("place", "error")).select("file_id", "detected_language", "place", "error.line", "error.column", "error.message")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of invalid files per subject and language."""
+    parsed = _parsed(spark, d, ["file_id", "subject_key", "detected_language"])
+    return parse_rates(parsed, ["subject_key", "detected_language"])
+
+
+def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """How the ledger's parse_status and recovery_strategy fit the verdicts, per language."""
+    digest = lambda c: F.coalesce(F.hex(hex_number(F.col(c))), F.lit("-"))
+    files = _parsed(spark, d, ["file_id", "workspace_id", "content_sha256", "detected_language"]).where(F.col("valid").isNotNull())
+    files = files.select("file_id", "workspace_id", digest("content_sha256").alias("digest"), "detected_language", "valid").distinct()
+    ledger = table(spark, d, "contributions").where(F.col("content_sha256").isNotNull())
+    ledger = ledger.select(F.col("workspace_id").alias("l_workspace"), digest("content_sha256").alias("l_digest"), "parse_status", "recovery_strategy").distinct()
+    both = files.join(ledger, (F.col("workspace_id") == F.col("l_workspace")) & (F.col("digest") == F.col("l_digest")))
+    return both.groupBy("detected_language", "parse_status", "recovery_strategy").agg(F.count("*").alias("files"), F.count_if(~F.col("valid")).alias("invalid"))
+
+
 def p6_ids(spark: SparkSession, d: str, *, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.tiktoken") -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), "doc_id", "text", read_ranks(vocabulary))
 
@@ -47,7 +80,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p3_ledger": p3_ledger, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
