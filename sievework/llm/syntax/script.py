@@ -254,6 +254,10 @@ class ScriptParser(Parser):
         if v == "async" and self.looks(lambda: (self.advance(), not self.nl and self.isn("function"))[-1]):
             self.advance()
             return self.function(True, is_async=True)
+        if self.ts and v in ("using", "await") and self.looks(self._using_ahead):
+            self.eatn("await")
+            self.advance()
+            return self.declarations(const=True)
         if self.ts and self.ts_statement(top):
             return None
         m = self.mark()
@@ -274,6 +278,13 @@ class ScriptParser(Parser):
         self.advance()
         return self.isp("[") or self.isp("{") or (self.kind == "n" and self.value not in ("in", "instanceof", "of"))
 
+    def _using_ahead(self) -> bool:
+        self.eatn("await")
+        if not self.eatn("using") or self.nl or not self.is_name() or self.value in ("in", "of", "instanceof"):
+            return False
+        self.advance()
+        return self.isp("=") or self.isp(":")
+
     def expression_statement(self) -> None:
         self.expression()
         self.semicolon()
@@ -1645,7 +1656,7 @@ class ScriptParser(Parser):
                         self.type_()
                     finally:
                         self.in_extends = state
-                    if self.isp("?"):
+                    if self.isp("?") and not state:
                         raise self.wrong()
 
                 self.attempt(constraint)
