@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def _survivors(batches: Iterator[pa.RecordBatch], period_us: int) -> Iterator[pa
         table = pa.concat_tables(parts).combine_chunks()
         field, key = table["field"].chunk(0), table["key"].chunk(0)
         n = len(table)
-        change = np.r_[True, ~np.asarray(pa.compute.and_(pa.compute.equal(field[1:], field[:-1]), pa.compute.equal(key[1:], key[:-1])))] if n > 1 else np.ones(n, bool)
+        change = np.r_[True, ~np.asarray(pc.and_(pc.equal(field[1:], field[:-1]), pc.equal(key[1:], key[:-1])))] if n > 1 else np.ones(n, bool)
         codes = np.cumsum(change) - 1  # the dictionary: keys arrive sorted
         heads = np.flatnonzero(change)
         is_ref = np.asarray(table["is_ref"])
@@ -145,7 +146,7 @@ def _survivors(batches: Iterator[pa.RecordBatch], period_us: int) -> Iterator[pa
             # Flush up to the last change of key, so that a key never straddles two dictionaries.
             table = pa.concat_tables([*held, table]).combine_chunks()
             key, field = table["key"].chunk(0), table["field"].chunk(0)
-            same = np.asarray(pa.compute.and_(pa.compute.equal(field[1:], field[:-1]), pa.compute.equal(key[1:], key[:-1])))
+            same = np.asarray(pc.and_(pc.equal(field[1:], field[:-1]), pc.equal(key[1:], key[:-1])))
             cuts = np.flatnonzero(~same)
             if len(cuts):
                 yield from flush([table.slice(0, cuts[-1] + 1)])
