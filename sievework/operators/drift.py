@@ -141,13 +141,13 @@ def values_of(df: DataFrame, target: dict[str, str], keep: list[str]) -> DataFra
     return held.select(*keep, F.transform_values("_seen", lambda k, kind: F.struct(kind.alias("kind"), value(k, kind).alias("value"))).alias("fields"))
 
 
-def _type_of(bits: Column) -> Column:
+def type_of(bits: Column) -> Column:
     """Name of a file's set of types, NULL for none."""
     names = [F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(TYPES)]
     return F.when(bits == 0b110, "number").when(bits != 0, F.concat_ws("|", *names))
 
 
-def schema_changes(rows: DataFrame, values: DataFrame, declared: DataFrame | None = None, *, stream: list[str], run: str, sequence: str, record: str, arrived: str, file_type=_type_of) -> DataFrame:
+def schema_changes(rows: DataFrame, values: DataFrame, declared: DataFrame | None = None, *, stream: list[str], run: str, sequence: str, record: str, arrived: str, file_type=type_of) -> DataFrame:
     """Changes between consecutive files of a stream: ``(*stream, run, old_field, new_field, change_kind)``.
 
     ``rows`` are the records as delivered, ``(*stream, run, sequence, record, arrived)``; ``record`` is NULL where a
@@ -182,6 +182,7 @@ def schema_changes(rows: DataFrame, values: DataFrame, declared: DataFrame | Non
     # Signatures are needed only where a file lost and won fields.
     both = Window.partitionBy(*stream, "into")
     sides = sides.withColumn("sides", F.size(F.collect_set("is_new").over(both)))
+    sides = cut(sides)
     wanted = sides.where("sides = 2").select(*[F.col(s).alias(f"w_{s}") for s in stream], "into", "at", F.col("field").alias("w_field"), "is_new", F.col("held").alias("w_run"))
     # Records of both files: those whose key stands in the file before or after, by the stream's numbering.
     records = rows.where(F.col(record).isNotNull()).groupBy(*stream, run, record).agg(F.max(arrived).alias("last")).join(runs.select(*stream, run, "k"), [*stream, run])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators.drift import TYPES, ingest, promote, schema_changes, values_of, with_header
-from sievework.session import table
+from sievework.operators.drift import TYPES, ingest, promote, schema_changes, type_of, values_of, with_header
+from sievework.session import cut, table
 
 #: Target schema of each table and the other names approved for its columns.
 METRICS = {
@@ -63,19 +63,25 @@ def _text_type(bits):
     return F.when(bits == 1 << TYPES.index("boolean"), "boolean").when(bits == 1 << TYPES.index("integer"), "integer").when(bits != 0, "string")
 
 
+def _file_type(bits):
+    return F.when(F.col("table_name") == "errors", _text_type(bits)).otherwise(type_of(bits))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    keep = ["workspace_id", "run_id", "record", "ingested_at"]
-    rows = _metric_rows(spark, d)
-    values = values_of(ingest(rows, "record_json", METRICS, keep), METRICS, keep)
-    metrics = schema_changes(rows, values, stream=["workspace_id"], run="run_id", sequence="run_seq", record="record", arrived="ingested_at")
-    keep = ["workspace_id", "run_id", "error_id", "recorded_at"]
-    rows = _error_rows(spark, d)
-    lines = rows.where(F.col("record_json").isNotNull())
-    values = values_of(ingest(lines, "record_json", ERRORS, keep), ERRORS, keep).withColumn("fields", _cell_kind("fields"))
-    declared = rows.where(F.col("header").isNotNull()).select("workspace_id", "run_id", F.explode("header").alias("field"))
-    errors = schema_changes(rows, values, declared, stream=["workspace_id"], run="run_id", sequence="run_seq", record="error_id", arrived="recorded_at", file_type=_text_type)
-    columns = [F.col("run").alias("run_id"), "old_field", "new_field", "change_kind"]
-    return metrics.select(F.lit("language_metrics").alias("table_name"), *columns).unionByName(errors.select(F.lit("errors").alias("table_name"), *columns))
+    # Both tables go through one plan, told apart by their name.
+    stream = ["table_name", "workspace_id"]
+    named = lambda df, name, record, arrived: df.withColumn("table_name", F.lit(name)).withColumnsRenamed({record: "record", arrived: "arrived"})
+    metrics = named(_metric_rows(spark, d), "language_metrics", "record", "ingested_at")
+    errors = cut(named(_error_rows(spark, d), "errors", "error_id", "recorded_at"))
+    keep = [*stream, "run_id", "record", "arrived"]
+    key = [*keep, "run_seq"]
+    values = values_of(ingest(metrics, "record_json", METRICS, keep), METRICS, keep).unionByName(
+        values_of(ingest(errors.where(F.col("record_json").isNotNull()), "record_json", ERRORS, keep), ERRORS, keep).withColumn("fields", _cell_kind("fields"))
+    )
+    declared = errors.where(F.col("header").isNotNull()).select(*stream, "run_id", F.explode("header").alias("field"))
+    rows = metrics.select(*key).unionByName(errors.select(*key))
+    changes = schema_changes(rows, values, declared, stream=stream, run="run_id", sequence="run_seq", record="record", arrived="arrived", file_type=_file_type)
+    return changes.select("table_name", F.col("run").alias("run_id"), "old_field", "new_field", "change_kind")
 
 
 def p4_language_metrics(spark: SparkSession, d: str) -> DataFrame:
