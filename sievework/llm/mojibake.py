@@ -248,7 +248,9 @@ def judge(vocabulary: DataFrame) -> DataFrame:
 def garbled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a garbled document: ``(id, fixes, traces)``; ``fixes`` maps tokens to how they are undone."""
     held = cut(tokens(df, id_col, text_col))
-    vocabulary = cut(held.groupBy("token").agg(F.count("*").alias("df")))
+    # Judging a token costs far more than moving it: the distinct tokens are spread evenly, whatever their bytes.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vocabulary = cut(held.groupBy("token").agg(F.count("*").alias("df")).repartition(parts, "token"))
     verdicts = judge(vocabulary)
     found = held.join(verdicts, "token").groupBy("id").agg(
         F.collect_set(F.struct("token", "written", "read", "times")).alias("fixes"),
