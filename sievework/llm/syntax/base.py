@@ -61,7 +61,8 @@ class Parser:
             starts.append(at + 1)
             at = find("\n", at + 1)
         places = []
-        for f in sorted(self.faults, key=lambda f: f.at):
+        first = {f.at: f for f in reversed(self.faults)}  # of faults at one place the earliest noted
+        for f in sorted(first.values(), key=lambda f: f.at):
             line = bisect_right(starts, f.at)
             places.append(Problem(line, f.at - starts[line - 1] + 1, f.message))
         return places
