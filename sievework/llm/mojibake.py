@@ -140,6 +140,29 @@ def _plausible(text: str) -> bool:
     return words >= 0.75 * len(text) and wide <= 0.8 * len(text)
 
 
+#: Blocks of which undone text may consist (fixed values).
+_BLOCKS = ((0xA0, 0x17F), (0x370, 0x3FF), (0x400, 0x45F), (0x1E00, 0x1EFF), (0x2000, 0x206F), (0x20A0, 0x20BF), (0x2100, 0x214F), (0x2190, 0x22FF), (0x2500, 0x27BF), (0x3000, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0xF900, 0xFAFF), (0xFE0F, 0xFE0F), (0xFF00, 0xFFEF), (0x1F000, 0x1FAFF))
+
+
+def _natural(text: str) -> bool:
+    """Whether the characters beyond ASCII are ones people write, and their letters of one alphabet."""
+    alphabets = set()
+    for c in text:
+        o = ord(c)
+        if o < 0x80:
+            continue
+        if not any(a <= o <= b for a, b in _BLOCKS):
+            return False
+        if c.isalpha() and o < 0x2000 and c not in "µªº":
+            alphabets.add("latin" if o < 0x370 or o >= 0x1E00 else "greek" if o < 0x400 else "cyrillic")
+    return len(alphabets) < 2
+
+
+def _badness(text: str) -> int:
+    """Places where prose seldom looks like this; tells apart the two orders of bytes."""
+    return len(re.findall(r"[a-z][A-Z]|[.,;:][A-Za-z]| [.,;:]", text))
+
+
 def self_evident(token: str) -> tuple[str, str, int] | None:
     """(written, read, times) if undoing needs no attestation."""
     for read in (*LATIN, *OTHER, *WIDE):
@@ -149,14 +172,12 @@ def self_evident(token: str) -> tuple[str, str, int] | None:
         again = undo(once, "utf-8", read) if not once.isascii() else None
         if again is not None and again != once and not any("\x80" <= c < "\xa0" for c in again):
             return "utf-8", read, 2
-        far = [c for c in once if c > "\x7f"]
-        if len(far) >= 2 and not any("\x80" <= c < "\xa0" or "" <= c <= "" for c in far):
+        if sum(c > "\x7f" for c in once) >= 2 and _natural(once):
             return "utf-8", read, 1
     if len(token) >= 3:
-        for read in UTF16:
-            once = undo(token, "utf-8", read)
-            if once is not None and _plausible(once):
-                return "utf-8", read, 1
+        ways = [(_badness(once), read) for read in UTF16 if (once := undo(token, "utf-8", read)) is not None and _plausible(once)]
+        if ways:
+            return "utf-8", min(ways)[1], 1
     return None
 
 
@@ -209,7 +230,7 @@ def learn(vocabulary: DataFrame) -> DataFrame:
 
 
 def judge(vocabulary: DataFrame) -> DataFrame:
-    """Garbled tokens: ``(token, written, read, times, sure)``; ``sure`` is false where a document needs two of its kind."""
+    """Garbled tokens: ``(token, written, read, times, sure)``; ``sure`` is false where a token proves nothing by itself."""
     learned = learn(vocabulary)
     # The table of encodings is fixed, so what is learned about it is of fixed size: at most its square.
     trusted = [tuple(r) for r in learned.groupBy("written", "read").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAIRS).select("written", "read").collect()]
@@ -240,7 +261,8 @@ def judge(vocabulary: DataFrame) -> DataFrame:
     attested = tries.where(F.col("unit").isNotNull()).join(units, "unit").where((F.col("times_seen") >= LEAST_PAIRS) & (F.col("times_seen") >= TIMES * F.col("df")))
     # A lone sign read in another single-byte encoding is often another lone sign: such a token is weak evidence.
     letters = F.length(F.regexp_replace("was", r"[^\p{L}]", ""))
-    weak = (F.col("written") != "utf-8") & ((letters < 2) | (F.length(F.regexp_replace("was", r"[^\p{L}\p{M}]", "")) < 3))
+    common = F.col("token").rlike("[A-Za-z]") & (F.col("times_seen") >= 50 * F.col("df"))
+    weak = (F.col("written") != "utf-8") & ~common & ((letters < 2) | (F.length(F.regexp_replace("was", r"[^\p{L}\p{M}]", "")) < 3))
     top = attested.groupBy("token").agg(F.max_by(F.struct("written", "read", "times", weak.alias("weak")), F.struct((~weak), "times_seen", "written", "read")).alias("best"))
     return evident.unionByName(top.select("token", "best.written", "best.read", "best.times", (~F.col("best.weak")).alias("sure")))
 
@@ -252,14 +274,11 @@ def garbled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vocabulary = cut(held.groupBy("token").agg(F.count("*").alias("df")).repartition(parts, "token"))
     verdicts = judge(vocabulary)
-    found = held.join(verdicts, "token").groupBy("id").agg(
-        F.collect_set(F.struct("token", "written", "read", "times")).alias("fixes"),
-        F.bool_or("sure").alias("sure"),
-        F.collect_list(F.when(~F.col("sure"), F.concat("written", F.lit("|"), "read"))).alias("kinds"),
-    )
-    twice = F.size("kinds") > F.size(F.array_distinct("kinds"))
+    kinds = held.join(verdicts, "token").groupBy("id", "written", "read").agg(F.collect_set(F.struct("token", "written", "read", "times")).alias("fixes"), F.bool_or("sure").alias("sure"))
+    # Weak tokens count only beside a sure one of the same transformation.
+    found = kinds.where("sure").groupBy("id").agg(F.flatten(F.collect_list("fixes")).alias("fixes"))
     marked = df.where(F.col(text_col).rlike(TRACES)).select(F.col(id_col).alias("id"), F.lit(True).alias("traces")).distinct()
-    both = found.where(F.col("sure") | twice).select("id", "fixes").join(marked, "id", "full")
+    both = found.join(marked, "id", "full")
     return both.select("id", "fixes", F.coalesce("traces", F.lit(False)).alias("traces"))
 
 
