@@ -90,11 +90,18 @@ def frequency_head(df: DataFrame, by: list[str], value: str, limit: int) -> Data
 
 
 def distribution(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """Long form, one row a column: measured, unmeasured, extremes, distinct values and nearest-rank percentiles."""
+    """Long form, one row a column: measured, unmeasured, extremes, distinct values and nearest-rank percentiles.
+
+    Values are counted first, so only distinct values are sorted; the running count then shows each rank's value.
+    """
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(v).alias("field"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select(*by, "x.field", "x.v")
-    at = [F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY v)").alias(f"p{p}") for p in POSITIONS]
-    return long.groupBy(*by, "field").agg(
-        F.count("v").alias("measured"), F.count_if(F.col("v").isNull()).alias("unmeasured"), F.min("v").alias("least"), F.max("v").alias("most"), F.countDistinct("v").alias("distinct_values"), *at
+    counts = long.groupBy(*by, "field", "v").agg(F.count("*").alias("n")).withColumn("m", F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0))
+    whole = Window.partitionBy(*by, "field")
+    upto = whole.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum("m").over(upto)).withColumn("total", F.sum("m").over(whole))
+    at = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("total") * p / 100), F.lit(1)), F.col("v"))).alias(f"p{p}") for p in POSITIONS]
+    return ranked.groupBy(*by, "field").agg(
+        F.sum("m").alias("measured"), F.sum(F.col("n") - F.col("m")).alias("unmeasured"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("v").alias("distinct_values"), *at
     )
 
 
