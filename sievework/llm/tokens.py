@@ -32,9 +32,11 @@ HOT_WORDS = 50_000
 HOT_CHARS = 32
 
 # White space as Unicode defines it, spelled out because Java's \s knows ASCII only.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The split pattern of the byte-level vocabularies (fixed value), in Java's syntax.
 WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: The same for Python's ``regex``, as the vocabularies publish it (fixed value).
+PYTHON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _encoders: dict[int, object] = {}
 
@@ -69,8 +71,26 @@ def encode_words(words: DataFrame, ranks: bytes) -> DataFrame:
 
 
 def split_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a word: ``(id, pos, word)``."""
-    return df.where(F.col(text_col) != "").select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(text_col, F.lit(WORD_PATTERN), F.lit(0))).alias("pos", "word"))
+    """One row a word: ``(id, pos, word)``.
+
+    Texts with characters that the JVM's Unicode tables don't know yet are split in Python, whose tables are newer.
+    """
+    kind = dict(df.dtypes)[id_col]
+    filled = df.where(F.col(text_col) != "").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    newer = F.col("text").rlike(r"\p{Cn}")
+    known = filled.where(~newer).select("id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).alias("pos", "word"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        pattern = regex.compile(PYTHON_PATTERN)
+        for batch in batches:
+            split = [pattern.findall(t) for t in batch.column(1).to_pylist()]
+            at = [i for i, words in enumerate(split) for _ in words]
+            pos = [k for words in split for k in range(len(words))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array([w for words in split for w in words], pa.string())], names=["id", "pos", "word"])
+
+    return known.unionByName(filled.where(newer).mapInArrow(scan, f"id {kind}, pos int, word string"))
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, ranks: bytes) -> DataFrame:
