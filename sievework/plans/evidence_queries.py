@@ -20,7 +20,7 @@ from sievework.operators import hotspots as H
 from sievework.operators import policy as P
 from sievework.operators import scope as K
 from sievework.operators import spans as R
-from sievework.session import table
+from sievework.session import cut, table
 
 COUNTS = ["source_files_contribution", "lines_of_code", "classes_structs", "methods_functions"]
 STATUSES = ["read_status", "loc_status", "classes_structs_status", "methods_functions_status"]
@@ -244,12 +244,13 @@ h AS (SELECT *, CASE WHEN complexity_signal IS NULL OR churn_signal IS NULL THEN
 
 @query(_HOT + "SELECT * FROM h")
 def attention_hotspots(spark, d):
-    rows = table(spark, d, "contributions")
-    path = F.lower("relative_path").alias("path")
+    rows = _delivered(spark, d, "source_files_contribution", "detected_language", "callable_count", "digest")
     key = ["workspace_id", "subject_key", "path"]
-    files = rows.where("source_files_contribution = 1").select("workspace_id", "subject_key", "detected_language", path).distinct()
-    complexity = rows.select("workspace_id", "subject_key", path, "callable_count").groupBy(*key).agg(F.max("callable_count").alias("complexity"))
-    churn = rows.where("content_sha256 is not null").select("workspace_id", "subject_key", path, F.lower("content_sha256").alias("digest")).groupBy(*key).agg(F.countDistinct("digest").alias("churn"))
+    # One row a file, cut off before the signals: they read it several times.
+    languages = F.collect_set(F.when(F.col("source_files_contribution") == 1, F.struct("detected_language"))).alias("languages")
+    held = cut(rows.groupBy(*key).agg(languages, F.max("callable_count").alias("complexity"), F.nullif(F.size(F.collect_set("digest")), F.lit(0)).cast("bigint").alias("churn")))
+    files = held.select(*key, F.inline("languages"))
+    complexity, churn = held.select(*key, "complexity"), held.select(*key, "churn")
     out = H.hotspots(files, complexity, churn, key, complexity_cohort=["workspace_id", "subject_key", "detected_language"], churn_cohort=["workspace_id", "subject_key"])
     return out.select("workspace_id", "subject_key", "detected_language", "path", "complexity", "churn", "complexity_signal", "churn_signal", "attention")
 
@@ -322,10 +323,19 @@ e AS (SELECT coalesce(a.workspace_id, b.workspace_id) AS workspace_id, coalesce(
 _FILE = ["workspace_id", "subject_key", "path"]
 
 
+def _delivered(spark, d, *fields: str) -> DataFrame:
+    """Each file of each run once: portable path, digest as a number, the row that arrived last.
+
+    Rows that tie in arrival are taken by their greatest values.  The registered SQL of the queries below still keys
+    files by lower case and takes the greatest value of every column.
+    """
+    rows = table(spark, d, "contributions").withColumn("path", portable_path(F.col("relative_path"))).withColumn("digest", hex_number(F.col("content_sha256")))
+    last = F.max_by(F.struct(*fields), F.struct("ingested_at", *fields)).alias("last")
+    return rows.groupBy("workspace_id", "subject_key", "run_id", "run_seq", "path").agg(last).select("workspace_id", "subject_key", "run_id", "run_seq", "path", "last.*")
+
+
 def _side(spark, d, seq):
-    path = F.lower(F.translate("relative_path", "\\", "/")).alias("path")
-    rows = table(spark, d, "contributions").where(F.col("run_seq") == seq).select("workspace_id", "subject_key", path, F.lower("content_sha256").alias("digest"), F.col("lines_of_code").alias("code"))
-    return rows.groupBy(*_FILE).agg(F.max("digest").alias("digest"), F.max("code").alias("code"))
+    return _delivered(spark, d, "digest", F.col("lines_of_code").alias("code")).where(F.col("run_seq") == seq).select(*_FILE, F.lower(F.hex("digest")).alias("digest"), "code")
 
 
 @query(_EVIDENCE + "SELECT workspace_id, subject_key, path, left_digest, right_digest, state FROM e")
@@ -390,9 +400,7 @@ _ONE = "SELECT workspace_id, subject_key, lower(replace(relative_path, '\\', '/'
 SELECT * FROM u WHERE before IS DISTINCT FROM after""")
 def status_transitions(spark, d):
     def run(seq):
-        path = F.lower(F.translate("relative_path", "\\", "/")).alias("path")
-        rows = table(spark, d, "contributions").where(F.col("run_seq") == seq).select("workspace_id", "subject_key", path, "parse_status", "contribution_state", "analyzed_sha")
-        return rows.groupBy(*_FILE).agg(*[F.max(c).alias(c) for c in ("parse_status", "contribution_state", "analyzed_sha")])
+        return _delivered(spark, d, "parse_status", "contribution_state", "analyzed_sha").where(F.col("run_seq") == seq)
 
     return D.transitions(run(1), run(2), _FILE, ["parse_status", "contribution_state", "analyzed_sha"])
 
