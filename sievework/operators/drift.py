@@ -108,23 +108,36 @@ def ingest(df: DataFrame, record: str, target: dict[str, str], keep: list[str])
 def promote(df: DataFrame, target: dict[str, str], approved: dict[str, list[str]]) -> DataFrame:
     """Replay rescued values into typed columns: castable ones, those of a ``value`` member and approved other names.
 
-    What was replayed leaves ``_rescued``; the rest stays there.
+    What was replayed without loss leaves ``_rescued``, an object only its ``value``; the rest stays there: names that were
+    not used, values that another name or the typed column outran, and values that the column doesn't hold exactly.
     """
     rescued = F.try_variant_get(F.try_parse_json("_rescued"), "$", _MAP)
     df = df.withColumn("_r", rescued)
     for field, kind in target.items():
-        tries = [F.col(field)]
+        tries = [F.when(F.col(field).isNotNull(), _replayed(F.col(field), None, False, F.lit(True)))]
         for name in [field, *approved.get(field, [])]:
             item = F.try_element_at("_r", F.lit(name))
-            tries += [F.try_variant_get(item, "$", kind), F.try_variant_get(item, "$.value", kind)]
-            if kind == "bigint":  # whole numbers spelled with a sign or blanks
-                tries.append(F.expr(f"try_cast(trim(try_variant_get(try_element_at(_r, '{name}'), '$', 'string')) as bigint)"))
-        df = df.withColumn(field, F.coalesce(*tries))
-    names = {n: f for f in target for n in [f, *approved.get(f, [])]}
-    done = F.create_map(*[x for n, f in names.items() for x in (F.lit(n), F.col(f).isNotNull())])
-    left = F.map_filter("_r", lambda k, v: ~F.coalesce(F.try_element_at(done, k), F.lit(False)))
+            for path in ("$", "$.value"):
+                text, value = F.trim(F.try_variant_get(item, path, "string")), F.try_variant_get(item, path, kind)
+                if kind == "bigint":  # whole numbers, also those spelled with a sign or blanks; never a part of a number
+                    value = F.when(text.try_cast("decimal(38,9)") == F.coalesce(value, text.try_cast("bigint")), F.coalesce(value, text.try_cast("bigint")))
+                exact = {"double": text.try_cast("decimal(38,18)") == value.try_cast("decimal(38,18)"), "boolean": F.lower(text) == value.cast("string")}.get(kind, F.lit(True))
+                tries.append(F.when(value.isNotNull(), _replayed(value, name, path != "$", F.coalesce(exact, F.lit(False)))))
+        df = df.withColumn(f"_p_{field}", F.coalesce(*tries))
+    chosen = [F.col(f"_p_{field}") for field in target]
+    whole = F.array_compact(F.array(*[F.when(c["exact"] & ~c["inner"], c["name"]) for c in chosen]))
+    inner = F.array_compact(F.array(*[F.when(c["exact"] & c["inner"], c["name"]) for c in chosen]))
+    df = df.withColumns({"_whole": whole, "_inner": inner})
+    beside = lambda v: F.map_filter(F.try_variant_get(v, "$", _MAP), lambda k, _: k != "value")
+    left = F.map_filter("_r", lambda k, v: ~F.array_contains("_whole", k) & ~(F.array_contains("_inner", k) & (F.size(beside(v)) == 0)))
+    left = F.transform_values(left, lambda k, v: F.when(F.array_contains("_inner", k), F.parse_json(F.to_json(beside(v), {"ignoreNullFields": "false"}))).otherwise(v))
     corrupt = F.when(F.col("_r").isNull(), F.col("_rescued"))
-    return df.withColumn("_rescued", F.coalesce(corrupt, F.nullif(F.to_json(left), F.lit("{}")))).drop("_r")
+    df = df.withColumn("_rescued", F.coalesce(corrupt, F.nullif(F.to_json(left), F.lit("{}"))))
+    return df.withColumns({field: F.col(f"_p_{field}.value") for field in target}).drop("_r", "_whole", "_inner", *[f"_p_{field}" for field in target])
+
+
+def _replayed(value: Column, name: str | None, inner: bool, exact: Column) -> Column:
+    return F.struct(value.alias("value"), F.lit(name).cast("string").alias("name"), F.lit(inner).alias("inner"), exact.alias("exact"))
 
 
 def values_of(df: DataFrame, target: dict[str, str], keep: list[str]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Registered queries over small tables of their own: every row counts and spellings of one thing are one thing."""
 
 import datetime as dt
+import json
 
 import pytest
 
+from sievework.operators.drift import ingest, promote
 from sievework.plans import evidence_queries as E
 
 EARLY, LATE = dt.datetime(2025, 1, 1), dt.datetime(2025, 1, 2)
@@ -44,3 +46,18 @@ def test_one_file_however_spelled_and_the_last_delivery(spark, write):
     assert E.Q["status_transitions"](spark, d).count() == 0
     hot = {r.path: (r.complexity, r.churn) for r in E.Q["attention_hotspots"](spark, d).collect()}
     assert hot == {"src/a.go": (1, 1), "src/b.go": (2, 1), "Up.go": (3, 1), "up.go": (4, 1), "old.go": (5, 1), "new.go": (5, 1), "fix.go": (6, 1)}
+
+
+def test_only_what_was_replayed_leaves_the_rescue_column(spark):
+    records = [
+        '{"s": "x", "u": "y"}', '{"u": "y"}', '{"n": {"value": 5, "status": "partial"}}', '{"n": {"value": "+6"}}', '{"n": 7.5}', '{"n": 7.0, "m": 9}', '{"m": {"value": 1, "status": null}}', '{"n": true}',
+        '{"b": "yes"}', '{"b": "True"}', '{"f": 9007199254740993}', '{"s": null, "u": null, "v": [1]}',
+    ]
+    target = {"n": "bigint", "s": "string", "b": "boolean", "f": "double"}
+    df = spark.createDataFrame(list(enumerate(records)), "id int, j string")
+    out = promote(ingest(df, "j", target, ["id"]).drop("_seen"), target, {"s": ["u"], "n": ["m"]}).orderBy("id").collect()
+    assert [(r.n, r.s, r._rescued and json.loads(r._rescued)) for r in out[:8]] == [
+        (None, "x", {"u": "y"}), (None, "y", None), (5, None, {"n": {"status": "partial"}}), (6, None, None), (None, None, {"n": 7.5}), (7, None, {"m": 9}), (1, None, {"m": {"status": None}}), (None, None, {"n": True}),
+    ]
+    assert [(r.b, r.f, r._rescued and json.loads(r._rescued)) for r in out[8:11]] == [(True, None, {"b": "yes"}), (True, None, None), (None, 9007199254740992.0, {"f": 9007199254740993})]
+    assert json.loads(out[11]._rescued)["v"] == [1]
