@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from collections import Counter
 
 import pytest
 
@@ -61,3 +62,23 @@ def test_only_what_was_replayed_leaves_the_rescue_column(spark):
     ]
     assert [(r.b, r.f, r._rescued and json.loads(r._rescued)) for r in out[8:11]] == [(True, None, {"b": "yes"}), (True, None, None), (None, 9007199254740992.0, {"f": 9007199254740993})]
     assert json.loads(out[11]._rescued)["v"] == [1]
+
+
+def test_spans_of_every_line(spark, write):
+    lines = [(o, o * 7 % 40, o % 3, n, float(o * n % 11)) for o in range(40) for n in range(1, 8)]
+    d = write("lineitem", lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    write("orders", [(o * 3, o) for o in range(60)], "o_orderkey long, o_custkey long")
+    spans = [(s, o, p % 1000 + n, p % 1000 + n + int(q) % 7) for o, p, s, n, q in lines]
+    islands = []
+    for path, _, start, end in sorted(spans, key=lambda x: (x[0], x[2], x[3])):
+        if islands and islands[-1][0] == path and start <= islands[-1][2] + 1:
+            islands[-1][2:] = [max(islands[-1][2], end), islands[-1][3] + 1]
+        else:
+            islands.append([path, start, end, 1])
+    assert sorted([r.path, r.start, r.end, r.spans] for r in E.Q["span_union"](spark, d).collect()) == islands
+    partial = Counter(a[0] for a in spans for b in spans if a[0] == b[0] and a[2] < b[2] <= a[3] < b[3])
+    assert {r.path: r.violations for r in E.Q["laminar_violations"](spark, d).collect()} == partial
+    hunks = [(o % 100 + 1, o * 3 % 1000, o * 3 % 4) for o in range(60)]
+    hits = [(k == 0, i) for path, i, start, end in spans for p, at, k in hunks if p == path and start <= at + max(k - 1, 0) and at <= end]
+    got = {r.mode: (r.pairs, r.spans) for r in E.Q["hunk_overlap"](spark, d).collect()}
+    assert got == {m: (sum(z == e for z, _ in hits), len({i for z, i in hits if z == e})) for m, e in (("zero_length_anchor", True), ("interval_intersection", False)) if any(z == e for z, _ in hits)}
