@@ -488,9 +488,11 @@ def exclusion_precedence(spark, d):
 SELECT relative_path, CASE {' '.join(f"WHEN {_EXT} = '{e}' THEN '{x}'" for e, x in K.LANGUAGE_OF.items())} END AS language, regexp_matches(relative_path, '^(src/.*|.*/test_[^/]*|.*\\.jsx)$') AS matched,
 array_to_string(list_filter(string_split(relative_path, '/'), lambda s: s <> '' AND s <> '.'), '/') AS portable FROM p""")
 def path_predicates(spark, d):
-    rows = table(spark, d, "contributions").select("relative_path").distinct().where(~F.col("relative_path").contains("\\"))
+    # The registered SQL still leaves out paths with a backslash.
+    rows = table(spark, d, "contributions").select("relative_path").distinct()
     path = F.col("relative_path")
-    return rows.select(path, K.language_of(path).alias("language"), path.rlike(r"^(src/.*|.*/test_[^/]*|.*\.jsx)$").alias("matched"), portable_path(path).alias("portable"))
+    slashed = F.translate(path, "\\", "/")
+    return rows.select(path, K.language_of(slashed).alias("language"), slashed.rlike(r"^(src/.*|.*/test_[^/]*|.*\.jsx)$").alias("matched"), portable_path(path).alias("portable"))
 
 
 @query("""WITH t AS (SELECT doc_id, text, regexp_matches(text, '\\r\\n') AS crlf, regexp_matches(replace(text, chr(13) || chr(10), ''), '\\n') AS lf, regexp_matches(replace(text, chr(13) || chr(10), ''), '\\r') AS cr FROM documents WHERE text IS NOT NULL)

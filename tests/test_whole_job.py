@@ -82,3 +82,9 @@ def test_spans_of_every_line(spark, write):
     hits = [(k == 0, i) for path, i, start, end in spans for p, at, k in hunks if p == path and start <= at + max(k - 1, 0) and at <= end]
     got = {r.mode: (r.pairs, r.spans) for r in E.Q["hunk_overlap"](spark, d).collect()}
     assert got == {m: (sum(z == e for z, _ in hits), len({i for z, i in hits if z == e})) for m, e in (("zero_length_anchor", True), ("interval_intersection", False)) if any(z == e for z, _ in hits)}
+
+
+def test_predicates_of_paths_with_backslashes(spark, write):
+    d = write("contributions", ledger(*[(1, p, "a1", 1, 1, EARLY, "s") for p in ("src\\x.py", "v1.2\\Makefile", ".\\lib\\\\test_a.go", "src/x.py")]), LEDGER)
+    got = {r.relative_path: (r.language, r.matched, r.portable) for r in E.Q["path_predicates"](spark, d).collect()}
+    assert got == {"src\\x.py": ("Python", True, "src/x.py"), "v1.2\\Makefile": (None, False, "v1.2/Makefile"), ".\\lib\\\\test_a.go": ("Go", True, "lib/test_a.go"), "src/x.py": ("Python", True, "src/x.py")}
