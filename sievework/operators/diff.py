@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,51 @@ def file_evidence(left: DataFrame, right: DataFrame, keys: list[str], digest: st
     return a.join(b, keys, "full").select(*keys, "left_digest", "right_digest", state.alias("state"))
 
 
+def numbered_runs(df: DataFrame, group: list[str], run: str, sequence: str) -> DataFrame:
+    """Runs of each group in order: ``(*group, run, k, next_run)``, ``k`` from 1.  Rows without a run belong to none."""
+    order = Window.partitionBy(*group).orderBy(F.col("_seq").asc_nulls_first(), run)
+    runs = df.where(F.col(run).isNotNull()).groupBy(*group, run).agg(F.min(sequence).alias("_seq"))
+    return runs.select(*group, run, F.row_number().over(order).alias("k"), F.lead(run).over(order).alias("next_run"))
+
+
+def with_runs(df: DataFrame, runs: DataFrame, group: list[str], run: str) -> DataFrame:
+    named = runs.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col(run).alias("_g_run"), "k", "next_run")
+    on = reduce(lambda a, g: a & F.col(g).eqNullSafe(F.col(f"_g_{g}")), group, F.col(run) == F.col("_g_run"))
+    return df.join(named, on).drop("_g_run", *[f"_g_{g}" for g in group])
+
+
+def sides(df: DataFrame, run: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``k`` and ``next_run`` as the earlier and as the later side of each step, both under the later run."""
+    left = df.where(F.col("next_run").isNotNull()).withColumn(run, F.col("next_run"))
+    return left.drop("k", "next_run"), df.where("k > 1").drop("k", "next_run")
+
+
+def steps(df: DataFrame, group: list[str], run: str, path: str, fields: list[str]) -> DataFrame:
+    """Each file beside itself in the group's previous run: ``(*group, run, path, before, after)``, NULL where it isn't there.
+
+    ``df`` has one row a file and run, with ``k`` and ``next_run``.  One window over the runs of a file, no join of runs.
+    """
+    order = Window.partitionBy(*group, path).orderBy("k")
+    now = df.select(*group, run, path, "k", "next_run", F.struct(*fields).alias("_now"))
+    for name, at in (("_was", F.lag("_now")), ("_was_k", F.lag("k")), ("_later_k", F.lead("k"))):
+        now = now.withColumn(name, at.over(order))
+    item = lambda r, before, after: F.struct(r.alias(run), before.alias("before"), after.alias("after"))
+    none = F.when(F.lit(False), F.col("_now"))
+    here = F.when(F.col("k") > 1, item(F.col(run), F.when(F.col("_was_k") == F.col("k") - 1, F.col("_was")), F.col("_now")))
+    gone = F.when(F.col("next_run").isNotNull() & ~F.coalesce(F.col("_later_k") == F.col("k") + 1, F.lit(False)), item(F.col("next_run"), F.col("_now"), none))
+    return now.select(*group, path, F.inline(F.array_compact(F.array(here, gone)))).select(*group, run, path, "before", "after")
+
+
+def step_evidence(df: DataFrame, digest: str) -> DataFrame:
+    """``steps`` with ``left_digest``, ``right_digest`` and the state of ``file_evidence``."""
+    left, right = F.col(f"before.{digest}"), F.col(f"after.{digest}")
+    state = (
+        F.when(F.col("before").isNull(), "added").when(F.col("after").isNull(), "removed").when(left.isNull() | right.isNull(), "indeterminate")
+        .when(left == right, "unchanged").otherwise("changed")
+    )
+    return df.withColumns({"left_digest": left, "right_digest": right, "state": state})
+
+
 def exact_renames(evidence: DataFrame, scope: list[str], path: str) -> DataFrame:
     """Removed and added files of equal content: one to one is a rename, else one ambiguous row a digest.
 
@@ -50,7 +95,11 @@ def attribute(evidence: DataFrame, keys: list[str], scope: list[str], left: Data
     """The scope's change of a value from its files: added - removed + changed, against the totals' difference."""
     a = left.select(*keys, F.col(value).alias("l_value"))
     b = right.select(*keys, F.col(value).alias("r_value"))
-    rows = evidence.join(a, keys, "left").join(b, keys, "left")
+    return attribute_rows(evidence.join(a, keys, "left").join(b, keys, "left"), scope)
+
+
+def attribute_rows(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """``attribute`` over rows that already hold ``state``, ``l_value`` and ``r_value``."""
     part = lambda state, v: F.sum(F.when(F.col("state") == state, v))
     missing = F.count_if(F.when(F.col("state").isin("added", "changed", "unchanged"), F.col("r_value").isNull()).otherwise(F.lit(False)) | F.when(F.col("state").isin("removed", "changed", "unchanged"), F.col("l_value").isNull()).otherwise(F.lit(False)))
     zero = F.lit(0)
@@ -69,8 +118,13 @@ def transitions(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     """Fields whose value differs between the sides, NULL being a value."""
     a = left.select(*keys, *[F.col(f).cast("string").alias(f"l_{f}") for f in fields])
     b = right.select(*keys, *[F.col(f).cast("string").alias(f"r_{f}") for f in fields])
+    return transitions_of(a.join(b, keys), keys, fields)
+
+
+def transitions_of(both: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """``transitions`` over rows that hold both sides as ``l_`` and ``r_`` columns."""
     item = lambda f: F.struct(F.lit(f).alias("field"), F.col(f"l_{f}").alias("before"), F.col(f"r_{f}").alias("after"))
-    long = a.join(b, keys).select(*keys, F.explode(F.array(*[item(f) for f in fields])).alias("x")).select(*keys, "x.*")
+    long = both.select(*keys, F.explode(F.array(*[item(f) for f in fields])).alias("x")).select(*keys, "x.*")
     return long.where(~F.col("before").eqNullSafe(F.col("after")))
 
 

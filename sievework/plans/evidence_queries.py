@@ -20,6 +20,7 @@ from sievework.operators import hotspots as H
 from sievework.operators import policy as P
 from sievework.operators import scope as K
 from sievework.operators import spans as R
+from sievework.operators.snapshots import BROADCAST_SNAPSHOTS
 from sievework.session import cut, table
 
 COUNTS = ["source_files_contribution", "lines_of_code", "classes_structs", "methods_functions"]
@@ -322,6 +323,7 @@ e AS (SELECT coalesce(a.workspace_id, b.workspace_id) AS workspace_id, coalesce(
  FROM side1 a FULL JOIN side2 b ON a.workspace_id = b.workspace_id AND a.subject_key = b.subject_key AND a.path = b.path)
 """
 _FILE = ["workspace_id", "subject_key", "path"]
+_SUBJECT = ["workspace_id", "subject_key"]
 
 
 def _delivered(spark, d, *fields: str) -> DataFrame:
@@ -331,17 +333,26 @@ def _delivered(spark, d, *fields: str) -> DataFrame:
     files by lower case and takes the greatest value of every column.
     """
     rows = table(spark, d, "contributions").withColumn("path", portable_path(F.col("relative_path"))).withColumn("digest", hex_number(F.col("content_sha256")))
+    rows = rows.repartition(*_FILE)  # one exchange serves the deliveries and the runs of a file
     last = F.max_by(F.struct(*fields), F.struct("ingested_at", *fields)).alias("last")
     return rows.groupBy("workspace_id", "subject_key", "run_id", "run_seq", "path").agg(last).select("workspace_id", "subject_key", "run_id", "run_seq", "path", "last.*")
 
 
-def _side(spark, d, seq):
-    return _delivered(spark, d, "digest", F.col("lines_of_code").alias("code")).where(F.col("run_seq") == seq).select(*_FILE, F.lower(F.hex("digest")).alias("digest"), "code")
+def _numbered(spark, d, name: str, group: list[str]) -> DataFrame:
+    runs = cut(D.numbered_runs(table(spark, d, name), group, "run_id", "run_seq"))
+    return F.broadcast(runs) if runs.count() <= BROADCAST_SNAPSHOTS else runs
+
+
+def _steps(spark, d, *fields: str) -> DataFrame:
+    """Each file of each run beside itself in the subject's previous run.  The registered SQL below knows runs 1 and 2 only."""
+    rows = D.with_runs(_delivered(spark, d, *fields), _numbered(spark, d, "contributions", _SUBJECT), _SUBJECT, "run_id")
+    return D.steps(rows, _SUBJECT, "run_id", "path", [*fields])
 
 
 @query(_EVIDENCE + "SELECT workspace_id, subject_key, path, left_digest, right_digest, state FROM e")
 def snapshot_diff(spark, d):
-    return D.file_evidence(_side(spark, d, 1), _side(spark, d, 2), _FILE, "digest")
+    hexed = lambda c: F.lower(F.hex(c)).alias(c)
+    return D.step_evidence(_steps(spark, d, "digest"), "digest").select(*_SUBJECT, "run_id", "path", hexed("left_digest"), hexed("right_digest"), "state")
 
 
 @query(_EVIDENCE + """, o AS (SELECT workspace_id, subject_key, left_digest AS digest, count(*) AS n_old, min(path) AS old_path FROM e WHERE state = 'removed' AND left_digest IS NOT NULL GROUP BY ALL),
@@ -349,7 +360,7 @@ n AS (SELECT workspace_id, subject_key, right_digest AS digest, count(*) AS n_ne
 SELECT workspace_id, subject_key, digest, CASE WHEN n_old = 1 AND n_new = 1 THEN 'exact' ELSE 'ambiguous' END AS kind, CASE WHEN n_old = 1 AND n_new = 1 THEN old_path END AS old_path,
 CASE WHEN n_old = 1 AND n_new = 1 THEN new_path END AS new_path, n_old, n_new FROM o JOIN n USING (workspace_id, subject_key, digest)""")
 def exact_renames(spark, d):
-    return D.exact_renames(snapshot_diff(spark, d), ["workspace_id", "subject_key"], "path")
+    return D.exact_renames(snapshot_diff(spark, d), [*_SUBJECT, "run_id"], "path")
 
 
 @query(_EVIDENCE + """SELECT workspace_id, subject_key, coalesce(sum(CASE WHEN state = 'added' THEN r END), 0)::BIGINT AS added, coalesce(sum(CASE WHEN state = 'removed' THEN l END), 0)::BIGINT AS removed,
@@ -358,8 +369,9 @@ CASE WHEN miss > 0 THEN 'not_evaluable' WHEN delta = added - removed + changed T
 FROM (SELECT *, (sum(coalesce(r, 0) - coalesce(l, 0)) OVER w)::BIGINT AS delta, sum(CASE WHEN (state IN ('added', 'changed', 'unchanged') AND r IS NULL) OR (state IN ('removed', 'changed', 'unchanged') AND l IS NULL) THEN 1 ELSE 0 END) OVER w AS miss
 FROM e WINDOW w AS (PARTITION BY workspace_id, subject_key)) GROUP BY workspace_id, subject_key, delta, miss""")
 def delta_attribution(spark, d):
-    left, right = _side(spark, d, 1), _side(spark, d, 2)
-    return D.attribute(D.file_evidence(left, right, _FILE, "digest"), _FILE, ["workspace_id", "subject_key"], left, right, "code")
+    rows = D.step_evidence(_steps(spark, d, "digest", "lines_of_code"), "digest")
+    rows = rows.withColumns({"l_value": F.col("before.lines_of_code"), "r_value": F.col("after.lines_of_code")})
+    return D.attribute_rows(rows, [*_SUBJECT, "run_id"])
 
 
 _YEAR = "SELECT o_orderpriority, count(*)::DOUBLE AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders WHERE year(o_orderdate) = {0} GROUP BY ALL"
@@ -370,11 +382,10 @@ FROM a FULL JOIN b ON a.o_orderpriority = b.o_orderpriority),
 u AS (SELECT o_orderpriority, 'orders' AS dimension, lo AS before, ro AS after, absent FROM j UNION ALL SELECT o_orderpriority, 'revenue', lr, rr, absent FROM j)
 SELECT o_orderpriority, dimension, before, after, round(after - before, 2) AS delta, CASE WHEN absent THEN 'side_absent' WHEN before IS NULL OR after IS NULL THEN 'measurement_unavailable' END AS reason FROM u WHERE after - before IS NULL OR after <> before""")
 def metric_deltas(spark, d):
-    def year(y):
-        rows = table(spark, d, "orders").where(F.year("o_orderdate") == y).groupBy("o_orderpriority")
-        return rows.agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
-
-    return D.deltas(year(1995), year(1996), ["o_orderpriority"], ["orders", "revenue"]).withColumn("delta", F.round("delta", 2))
+    rows = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
+    sums = rows.groupBy("year", "o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    left, right = D.sides(D.with_runs(sums, D.numbered_runs(rows, [], "year", "year"), [], "year"), "year")
+    return D.deltas(left, right, ["year", "o_orderpriority"], ["orders", "revenue"]).withColumn("delta", F.round("delta", 2))
 
 
 _LANG = f"SELECT workspace_id, subject_key, detected_language, sum(lines_of_code)::DOUBLE AS lines_of_code, sum(callable_count)::DOUBLE AS callable_count FROM {_sql_ledger('workspace_id', 'subject_key', 'detected_language', 'run_seq', 'lines_of_code', 'callable_count')} WHERE run_seq = {{0}} GROUP BY ALL"
@@ -387,11 +398,10 @@ SELECT workspace_id, subject_key, detected_language, dimension, before, after, a
 def language_deltas(spark, d):
     keys = ["workspace_id", "subject_key", "detected_language"]
 
-    def run(seq):
-        rows = _ledger(spark, d, *keys, "run_seq", "lines_of_code", "callable_count").where(F.col("run_seq") == seq)
-        return rows.groupBy(*keys).agg(F.sum("lines_of_code").alias("lines_of_code"), F.sum("callable_count").alias("callable_count"))
-
-    return D.deltas(run(1), run(2), keys, ["lines_of_code", "callable_count"])
+    rows = _ledger(spark, d, *keys, "run_id", "lines_of_code", "callable_count").groupBy(*keys, "run_id")
+    sums = rows.agg(F.sum("lines_of_code").alias("lines_of_code"), F.sum("callable_count").alias("callable_count"))
+    left, right = D.sides(D.with_runs(sums, _numbered(spark, d, "contributions", _SUBJECT), _SUBJECT, "run_id"), "run_id")
+    return D.deltas(left, right, [*_SUBJECT, "run_id", "detected_language"], ["lines_of_code", "callable_count"])
 
 
 _ONE = "SELECT workspace_id, subject_key, lower(replace(relative_path, '\\', '/')) AS path, max(parse_status) AS parse_status, max(contribution_state) AS contribution_state, max(analyzed_sha) AS analyzed_sha FROM contributions WHERE run_seq = {0} GROUP BY ALL"
@@ -400,10 +410,10 @@ _ONE = "SELECT workspace_id, subject_key, lower(replace(relative_path, '\\', '/'
 @query(f"""WITH a AS ({_ONE.format(1)}), b AS ({_ONE.format(2)}), u AS ({' UNION ALL '.join(f"SELECT workspace_id, subject_key, path, '{f}' AS field, a.{f} AS before, b.{f} AS after FROM a JOIN b USING (workspace_id, subject_key, path)" for f in ('parse_status', 'contribution_state', 'analyzed_sha'))})
 SELECT * FROM u WHERE before IS DISTINCT FROM after""")
 def status_transitions(spark, d):
-    def run(seq):
-        return _delivered(spark, d, "parse_status", "contribution_state", "analyzed_sha").where(F.col("run_seq") == seq)
-
-    return D.transitions(run(1), run(2), _FILE, ["parse_status", "contribution_state", "analyzed_sha"])
+    fields = ["parse_status", "contribution_state", "analyzed_sha"]
+    both = _steps(spark, d, *fields).where("before is not null and after is not null")
+    both = both.withColumns({f"{side}_{f}": F.col(f"{at}.{f}") for side, at in (("l", "before"), ("r", "after")) for f in fields})
+    return D.transitions_of(both, [*_SUBJECT, "run_id", "path"], fields)
 
 
 _VER = "SELECT workspace_id, max(artifact_schema_version) AS schema_version, max(metric_contract_version) AS contract_version FROM language_metrics WHERE run_seq = {0} GROUP BY ALL"
@@ -412,11 +422,10 @@ _VER = "SELECT workspace_id, max(artifact_schema_version) AS schema_version, max
 @query(f"""WITH a AS ({_VER.format(1)}), b AS ({_VER.format(2)}) SELECT workspace_id, CASE WHEN a.contract_version IS DISTINCT FROM b.contract_version THEN 'incomparable' WHEN a.schema_version IS DISTINCT FROM b.schema_version THEN 'qualified' ELSE 'comparable' END AS verdict,
 concat_ws(',', CASE WHEN a.contract_version IS DISTINCT FROM b.contract_version THEN 'contract_version' END, CASE WHEN a.schema_version IS DISTINCT FROM b.schema_version THEN 'schema_version' END) AS differences FROM a JOIN b USING (workspace_id)""")
 def comparability_verdict(spark, d):
-    def run(seq):
-        rows = table(spark, d, "language_metrics").where(F.col("run_seq") == seq).groupBy("workspace_id")
-        return rows.agg(F.max("artifact_schema_version").alias("schema_version"), F.max("metric_contract_version").alias("contract_version"))
-
-    return D.comparability(run(1), run(2), ["workspace_id"], ["contract_version"], ["schema_version"])
+    rows = table(spark, d, "language_metrics").groupBy("workspace_id", "run_id")
+    versions = rows.agg(F.max("artifact_schema_version").alias("schema_version"), F.max("metric_contract_version").alias("contract_version"))
+    left, right = D.sides(D.with_runs(versions, _numbered(spark, d, "language_metrics", ["workspace_id"]), ["workspace_id"], "run_id"), "run_id")
+    return D.comparability(left, right, ["workspace_id", "run_id"], ["contract_version"], ["schema_version"])
 
 
 # -- clones
@@ -583,12 +592,20 @@ WHEN c.value = b.value THEN 'unchanged' WHEN c.value < b.value THEN 'improved' W
 def ratchet_compare(spark, d):
     keys = ["workspace_id", "subject_key", "detected_language"]
 
-    def run(seq):
-        rows = _ledger(spark, d, *keys, "run_seq", "lines_of_code", "nloc_status").where(F.col("run_seq") == seq)
-        bad = F.count_if(F.col("nloc_status").isin("failed", "partial")) > 0
-        return rows.groupBy(*keys).agg(F.sum("lines_of_code").cast("double").alias("value"), F.when(bad, "partial").otherwise("complete").alias("completeness"))
-
-    return P.ratchet(run(1).drop("completeness"), run(8), keys, allowed=20.0)
+    bad = F.count_if(F.col("nloc_status").isin("failed", "partial")) > 0
+    rows = _ledger(spark, d, *keys, "run_id", "lines_of_code", "nloc_status").groupBy(*keys, "run_id")
+    sums = rows.agg(F.sum("lines_of_code").cast("double").alias("value"), F.when(bad, "partial").otherwise("complete").alias("completeness"))
+    runs = _numbered(spark, d, "contributions", _SUBJECT)
+    sums = cut(D.with_runs(sums, runs, _SUBJECT, "run_id"))
+    # Each run against the run before and, from the third on, against the first: small steps may add up to a regression.
+    _, current = D.sides(sums, "run_id")
+    last = sums.where("next_run is not null").withColumns({"baseline_run_id": F.col("run_id"), "run_id": F.col("next_run")}).drop("k", "next_run", "completeness")
+    later = runs.where("k > 2").select(*_SUBJECT, F.col("run_id").alias("at"))
+    first = sums.where("k = 1").drop("k", "next_run", "completeness").withColumnRenamed("run_id", "baseline_run_id").join(later, _SUBJECT).withColumnRenamed("at", "run_id")
+    pairs = runs.where("next_run is not null").select(*_SUBJECT, F.col("next_run").alias("run_id"), F.col("run_id").alias("baseline_run_id"))
+    firsts = runs.where("k = 1").select(*_SUBJECT, F.col("run_id").alias("baseline_run_id")).join(later, _SUBJECT).withColumnRenamed("at", "run_id")
+    current = current.join(pairs.unionByName(firsts), [*_SUBJECT, "run_id"])
+    return P.ratchet(last.unionByName(first), current, [*_SUBJECT, "run_id", "baseline_run_id", "detected_language"], allowed=20.0)
 
 
 # -- front end and scalars

@@ -88,3 +88,34 @@ def test_predicates_of_paths_with_backslashes(spark, write):
     d = write("contributions", ledger(*[(1, p, "a1", 1, 1, EARLY, "s") for p in ("src\\x.py", "v1.2\\Makefile", ".\\lib\\\\test_a.go", "src/x.py")]), LEDGER)
     got = {r.relative_path: (r.language, r.matched, r.portable) for r in E.Q["path_predicates"](spark, d).collect()}
     assert got == {"src\\x.py": ("Python", True, "src/x.py"), "v1.2\\Makefile": (None, False, "v1.2/Makefile"), ".\\lib\\\\test_a.go": ("Go", True, "lib/test_a.go"), "src/x.py": ("Python", True, "src/x.py")}
+
+
+RUNS = ledger(
+    (1, "a.go", "a1", 10, 1, EARLY, "s"), (1, "b.go", "b1", 10, 1, EARLY, "s"), (3, "a.go", "a2", 25, 1, EARLY, "s"), (3, "c.go", "b1", 10, 2, EARLY, "s"),
+    (4, "a.go", "a2", 40, 1, EARLY, "s"), (4, "b.go", "b9", 10, 2, EARLY, "s"), (4, "c.go", "b1", 10, None, EARLY, "s"), (2, "z.go", "f1", 1, 1, EARLY, "t"), (4, "z.go", "f2", 1, 1, EARLY, "t"),
+)
+
+
+def test_every_run_against_the_one_before(spark, write):
+    d = write("contributions", RUNS, LEDGER)
+    diff = sorted((r.subject_key, r.run_id, r.path, r.state) for r in E.Q["snapshot_diff"](spark, d).collect())
+    assert diff == [
+        ("s", 103, "a.go", "changed"), ("s", 103, "b.go", "removed"), ("s", 103, "c.go", "added"),
+        ("s", 104, "a.go", "unchanged"), ("s", 104, "b.go", "added"), ("s", 104, "c.go", "unchanged"), ("t", 104, "z.go", "changed"),
+    ]
+    assert [(r.run_id, r.kind, r.old_path, r.new_path) for r in E.Q["exact_renames"](spark, d).collect()] == [(103, "exact", "b.go", "c.go")]
+    moved = sorted((r.subject_key, r.run_id, r.added, r.removed, r.changed, r.delta, r.outcome) for r in E.Q["delta_attribution"](spark, d).collect())
+    assert moved == [("s", 103, 10, 10, 15, 15, "exact_reconciliation"), ("s", 104, 10, 0, 0, 25, "unexplained_residual"), ("t", 104, 0, 0, 0, 0, "exact_reconciliation")]
+    changed = sorted((r.run_id, r.path, r.before, r.after) for r in E.Q["status_transitions"](spark, d).collect())
+    assert changed == [(103, "a.go", "parsed10", "parsed25"), (104, "a.go", "parsed25", "parsed40")]
+    by_language = sorted((r.subject_key, r.run_id, r.dimension, r.delta) for r in E.Q["language_deltas"](spark, d).collect())
+    assert by_language == [("s", 103, "callable_count", 1.0), ("s", 103, "lines_of_code", 15.0), ("s", 104, "lines_of_code", 25.0)]
+    judged = sorted((r.subject_key, r.run_id, r.baseline_run_id, r.delta, r.decision) for r in E.Q["ratchet_compare"](spark, d).collect())
+    assert judged == [("s", 103, 101, 15.0, "tolerated"), ("s", 104, 101, 40.0, "regression"), ("s", 104, 103, 25.0, "regression"), ("t", 104, 102, 0.0, "unchanged")]
+
+
+def test_every_version_step_and_every_year(spark, write):
+    write("language_metrics", [(1, 10 + i, i, s, c) for i, (s, c) in enumerate([("1", "1"), ("2", "1"), ("2", "2"), ("2", "2")])], "workspace_id long, run_id long, run_seq int, artifact_schema_version string, metric_contract_version string")
+    d = write("orders", [(dt.date(y, 5, 1), "1-URGENT", float(p)) for y, p in ((1992, 5), (1994, 7), (1995, 7), (1996, 9), (1998, 9))], "o_orderdate date, o_orderpriority string, o_totalprice double")
+    assert sorted((r.run_id, r.verdict) for r in E.Q["comparability_verdict"](spark, d).collect()) == [(11, "qualified"), (12, "incomparable"), (13, "comparable")]
+    assert sorted((r.year, r.dimension, r.delta) for r in E.Q["metric_deltas"](spark, d).collect()) == [(1994, "revenue", 2.0), (1996, "revenue", 2.0)]
