@@ -21,7 +21,8 @@ Defined results
 ---------------
 * Null, empty and plain ASCII texts are never garbled, unless they hold NULs (text read byte by byte from UTF-16).
 * A document repeated under another id is judged alike.  Rows repeated as a whole come out once.
-* ``restored`` undoes what was judged; what was replaced for good stays, and ``complete`` is then false.
+* ``restored`` undoes what was judged, and whatever else in the document reads as UTF-8 under its sure transformation; what was
+  replaced for good stays, and ``complete`` is then false, as it is where a token is left that such a transformation would change.
 """
 
 from __future__ import annotations
@@ -285,16 +286,42 @@ def garbled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _HELD = re.compile(r"([ \t\r\n]+)")
 
 
-def _mend(text: str, fixes: dict[str, tuple[str, str, int]]) -> str:
-    parts = _HELD.split(text)
+def _undone(token: str, how: tuple[str, str, int]) -> str | None:
+    """A token that nobody judged, undone under a transformation that is sure for its document; None if it doesn't fit."""
+    for times in range(how[2], 0, -1):
+        was: str | None = token
+        for _ in range(times):
+            was = undo(was, how[0], how[1]) if was is not None else None
+        if was is not None and was != token and _natural(was) and not any("\x80" <= c < "\xa0" for c in was):
+            return was
+    return None
+
+
+def _mend(text: str, fixes: dict[str, tuple[str, str, int]]) -> tuple[str, bool]:
+    """The text undone, and whether a token is left that a sure transformation would change.
+
+    Well-formed UTF-8 doesn't come by chance, so the document's other tokens are undone too.  Nearly any sign fits another
+    single-byte encoding, and a text may be garbled in places only: there a token that wasn't judged stays and is told.
+    """
+    parts, left = _HELD.split(text), False
+    sure = sorted({how for how in fixes.values() if how[1] not in UTF16}, key=lambda how: (how[0] != "utf-8", how))
     for i in range(0, len(parts), 2):
-        how = fixes.get(normal(parts[i])) if not parts[i].isascii() else None
+        if parts[i].isascii():
+            continue
+        how = fixes.get(normal(parts[i]))
         if how:
             was: str | None = parts[i]
             for _ in range(how[2]):
                 was = undo(was, how[0], how[1]) if was is not None else None
+            left |= was is None
             parts[i] = was if was is not None else parts[i]
-    return "".join(parts)
+            continue
+        ways = [(h, was) for h in sure if (was := _undone(parts[i], h)) is not None]
+        if ways and ways[0][0][0] == "utf-8":
+            parts[i] = ways[0][1]
+        else:
+            left |= bool(ways)
+    return "".join(parts), left
 
 
 def restore(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -304,13 +331,14 @@ def restore(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Data
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trace = re.compile(TRACES)
         for batch in batches:
-            out = []
+            out, whole = [], []
             for text, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text = _mend(text, {f["token"]: (f["written"], f["read"], f["times"]) for f in fixes or []})
+                text, left = _mend(text, {f["token"]: (f["written"], f["read"], f["times"]) for f in fixes or []})
                 if "\x00" in text:  # every other byte of UTF-16 read as a character
                     text = re.sub(r"(?:[^\x00]\x00){4,}", lambda m: m.group(0).replace("\x00", ""), text)
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array([not trace.search(t) for t in out])], names=[id_col, "restored", "complete"])
+                whole.append(not left and not trace.search(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(whole, pa.bool_())], names=[id_col, "restored", "complete"])
 
     joined = df.join(found.select(F.col("id").alias("f_id"), "fixes"), F.col(id_col) == F.col("f_id")).select(id_col, text_col, "fixes").where(F.col(text_col).isNotNull())
     return joined.mapInArrow(scan, f"{id_col} {kind}, restored string, complete boolean")
