@@ -3,14 +3,13 @@
 ``ingest`` enforces a target schema on records that arrive as JSON objects.  A field the target knows, in
 the JSON type the target expects, goes to its typed column.  Everything else (unknown fields, values of
 another type, records that are no object) is preserved as JSON in ``_rescued``.  ``_seen`` keeps which
-fields the record had and in which type, so no information of the record is lost, and ``values_of`` reads
-every field back from the typed columns and the rescue column.  ``promote`` fills typed columns from
+fields the record had and in which type, so no information of the record is lost.  ``promote`` fills typed columns from
 rescued values: by cast, from a ``value`` member, or from a field approved as another name of the column.
 
-``schema_changes`` compares each file with the previous file of its stream by means of what was ingested.
-Files are reduced to one row a field before anything is compared; a renaming is found by joining 128-bit
-signatures of the values a field has over the records of both files, so no pair of fields is ever formed
-that doesn't agree.
+``schema_changes`` runs the same ingestion narrowly: of each record it keeps which fields it has and in which
+JSON type, and of the fields that a file lost or won a 128-bit mark of the value.  Files are reduced to one row
+before anything is compared; marks are combined to a signature over the records of both files, and fields are a
+renaming if their signatures meet, so no pair of fields is ever formed that doesn't agree.
 
 Defined results
 ---------------
@@ -27,15 +26,17 @@ Defined results
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
+from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.session import cut
-
 _MAP = "map<string,variant>"
 #: JSON type names; a file's set of types is a bit set over them.
 TYPES = ("string", "integer", "number", "boolean", "array", "object")
@@ -140,18 +141,25 @@ def _replayed(value: Column, name: str | None, inner: bool, exact: Column) -> Co
     return F.struct(value.alias("value"), F.lit(name).cast("string").alias("name"), F.lit(inner).alias("inner"), exact.alias("exact"))
 
 
-def values_of(df: DataFrame, target: dict[str, str], keep: list[str]) -> DataFrame:
-    """Every field of every ingested record, read back: ``(*keep, fields)``, a map from field to (kind, value).
+_BITS = {str: 1, int: 2, float: 4, bool: 8, list: 16, dict: 32, type(None): 0}
+_TRUTH = {"true", "false"}
+_WHOLE = re.compile(r"[+-]?[0-9]+", re.ASCII)
 
-    ``value`` is canonical text: numbers as doubles print, arrays and objects as JSON with sorted keys.
-    """
-    pairs = [F.struct(F.lit(f).alias("key"), (F.to_json(f) if t.startswith("array") else F.col(f).cast("string")).alias("value")) for f, t in target.items()]
-    rescued = F.from_json("_rescued", "map<string,string>")
-    named = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
-    held = df.select(*keep, "_seen", named.alias("_t"), rescued.alias("_x"))
-    text = lambda k: F.coalesce(F.try_element_at("_t", k), F.try_element_at("_x", k))
-    value = lambda k, kind: F.when(kind == "number", text(k).try_cast("double").cast("string")).when(kind.isNotNull(), text(k))
-    return held.select(*keep, F.transform_values("_seen", lambda k, kind: F.struct(kind.alias("kind"), value(k, kind).alias("value"))).alias("fields"))
+
+def _cell_bits(text: str | None) -> int:
+    """Type of a text cell by its form; an empty one has none."""
+    if not text:
+        return 0
+    plain = text.strip(" ")
+    return 8 if plain.lower() in _TRUTH else 2 if _WHOLE.fullmatch(plain) else 1
+
+
+def _record(body: str | None) -> dict:
+    try:
+        record = json.loads(body) if body is not None else None
+    except (ValueError, RecursionError):
+        record = None
+    return record if isinstance(record, dict) else {}
 
 
 def type_of(bits: Column) -> Column:
@@ -160,82 +168,141 @@ def type_of(bits: Column) -> Column:
     return F.when(bits == 0b110, "number").when(bits != 0, F.concat_ws("|", *names))
 
 
-def schema_changes(rows: DataFrame, values: DataFrame, declared: DataFrame | None = None, *, stream: list[str], run: str, sequence: str, record: str, arrived: str, file_type=type_of) -> DataFrame:
+def _shapes(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Fields of each file in the batch, by the shapes of its records: ``(*key, seq, fields)``, fields in order with the bits of their types."""
+    for batch in batches:
+        bodies, texts, heads = (batch.column(keys + i).to_pylist() for i in (3, 4, 5))
+        files = list(zip(*(batch.column(i).to_pylist() for i in range(keys))))
+        first: dict[tuple, int] = {}
+        shapes: set[tuple] = set()
+        for i, key in enumerate(files):
+            at = first.setdefault(key, i)
+            if heads[i] is not None:
+                shapes.add((at, tuple(heads[i]), (0,) * len(heads[i])))
+            record = _record(bodies[i])
+            if record:
+                kinds = tuple(map(_cell_bits, record.values())) if texts[i] else tuple([_BITS[type(v)] for v in record.values()])
+                shapes.add((at, tuple(record), kinds))
+        found: dict[int, dict[str, int]] = {at: {} for at in first.values()}
+        for at, fields, kinds in shapes:
+            file = found[at]
+            for field, bits in zip(fields, kinds):
+                if not texts[at] or not field.startswith("_cell_"):
+                    file[field] = file.get(field, 0) | bits
+        flat = [it for file in found.values() for it in sorted(file.items())]
+        offsets = pa.array([0, *accumulate(map(len, found.values()))], pa.int32())
+        fields = pa.StructArray.from_arrays([pa.array([f for f, _ in flat], pa.string()), pa.array([b for _, b in flat], pa.int32())], names=["field", "bits"])
+        at = pa.array(list(found), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(keys + 1)), pa.ListArray.from_arrays(offsets, fields)], names=[*batch.schema.names[: keys + 1], "fields"])
+
+
+def _mark(record: str, value: object) -> tuple[int, int]:
+    """128 bits of a value in a record; an absent key equals null."""
+    if value is None:
+        return 0, 0
+    text = value if isinstance(value, str) else repr(value) if isinstance(value, (int, float)) else json.dumps(value, sort_keys=True, ensure_ascii=False)
+    mark = blake2b(f"{len(record)}:{record}{type(value).__name__}:{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True)
+
+
+_CELL = pa.struct([("field", pa.string()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def _marks(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Marks of the fields a file lost (beside its next file) or won: ``(*stream, into, record, is_new, arrived, cells)``."""
+    for batch in batches:
+        at, new, fields, a, b, offsets = [], [], [], [], [], [0]
+        records, bodies, texts, won, lost = (batch.column(keys + i).to_pylist() for i in (1, 3, 4, 5, 6))
+        for i, body in enumerate(bodies):
+            values = _record(body)
+            for is_new, wanted in ((True, won[i]), (False, lost[i])):
+                if wanted:
+                    at.append(i)
+                    new.append(is_new)
+                    for f in wanted:
+                        value = values.get(f)
+                        x, y = _mark(records[i], None if value == "" and texts[i] else value)
+                        fields.append(f)
+                        a.append(x)
+                        b.append(y)
+                    offsets.append(len(fields))
+        take = pa.array(at, pa.int64())
+        into = pc.if_else(pa.array(new, pa.bool_()), batch.column(keys - 1).take(take), batch.column(keys + 7).take(take))
+        cells = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(fields, pa.string()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], fields=list(_CELL)))
+        columns = [*(batch.column(i).take(take) for i in range(keys - 1)), into, batch.column(keys + 1).take(take), pa.array(new, pa.bool_()), batch.column(keys + 2).take(take), cells]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[: keys - 1], "into", "record", "is_new", "arrived", "cells"])
+
+
+def schema_changes(df: DataFrame, *, stream: list[str], run: str, sequence: str, record: str, arrived: str, body: str, text: str | None = None, header: str | None = None, file_type=type_of) -> DataFrame:
     """Changes between consecutive files of a stream: ``(*stream, run, old_field, new_field, change_kind)``.
 
-    ``rows`` are the records as delivered, ``(*stream, run, sequence, record, arrived)``; ``record`` is NULL where a
-    record has no identity.  ``values`` adds ``fields`` (see ``values_of``).  ``declared`` gives fields that a file
-    names apart from its records, ``(*stream, run, field)``.  ``file_type`` turns the bits of ``TYPES`` found in a
-    file into the type that is compared.
+    ``df`` has the records as delivered: ``record`` is NULL where a record has no identity, ``body`` is its JSON object.
+    Where ``text`` is true the values are text cells, typed by their form; ``header`` names fields that a file has apart
+    from its records.  ``file_type`` turns the bits of ``TYPES`` found in a file into the type that is compared.
+
+    Two narrow Arrow passes over the records.  The first reduces each file to its fields and their types where it is
+    read; the second reads, of files that both lost and won fields, the values of those fields only.  What is between
+    them is one row a file.  Equal values of a lost and a won field are equal signatures, so they meet by a key.
     """
-    on_stream = [F.col(s) for s in stream]
-    bit = reduce(lambda c, it: c.when(F.col("kind") == it[1], 1 << it[0]), enumerate(TYPES), F.when(F.lit(False), 0)).otherwise(0)
-    each = values.select(*stream, run, F.explode("fields").alias("field", "x")).select(*stream, run, "field", F.col("x.kind").alias("kind"))
-    per_file = each.groupBy(*stream, run, "field").agg(F.bit_or(bit).alias("bits"))
-    if declared is not None:
-        more = declared.select(*stream, run, "field").distinct().withColumn("bits", F.lit(0))
-        per_file = per_file.unionByName(more).groupBy(*stream, run, "field").agg(F.bit_or("bits").alias("bits"))
-    by_seq = Window.partitionBy(*stream).orderBy("seq", run)
-    runs = rows.groupBy(*stream, run).agg(F.min(sequence).alias("seq"))
-    runs = cut(runs.select(*stream, run, F.row_number().over(by_seq).alias("k"), F.lead(run).over(by_seq).alias("next_run")))
-    by_field = Window.partitionBy(*stream, "field").orderBy("k")
-    seen = (
-        cut(per_file).join(runs, [*stream, run])
-        .select(*stream, run, "k", "next_run", "field", file_type(F.col("bits")).alias("type"))
-        .withColumn("before", F.lag("k").over(by_field))
-        .withColumn("type_before", F.lag("type").over(by_field))
-        .withColumn("after", F.lead("k").over(by_field))
-    )
-    fresh = seen.where((F.col("k") > 1) & (F.col("before").isNull() | (F.col("before") != F.col("k") - 1)))
-    gone = seen.where(F.col("next_run").isNotNull() & (F.col("after").isNull() | (F.col("after") != F.col("k") + 1)))
-    retyped = seen.where((F.col("before") == F.col("k") - 1) & (F.col("type") != F.col("type_before")))
-    sides = fresh.select(*stream, F.col("k").alias("into"), F.col(run).alias("at"), "field", F.lit(True).alias("is_new"), F.col(run).alias("held")).unionByName(
-        gone.select(*stream, (F.col("k") + 1).alias("into"), F.col("next_run").alias("at"), "field", F.lit(False).alias("is_new"), F.col(run).alias("held"))
-    )
-    # Signatures are needed only where a file lost and won fields.
-    both = Window.partitionBy(*stream, "into")
-    sides = sides.withColumn("sides", F.size(F.collect_set("is_new").over(both)))
-    sides = cut(sides)
-    wanted = sides.where("sides = 2").select(*[F.col(s).alias(f"w_{s}") for s in stream], "into", "at", F.col("field").alias("w_field"), "is_new", F.col("held").alias("w_run"))
-    # Records of both files: those whose key stands in the file before or after, by the stream's numbering.
-    records = rows.where(F.col(record).isNotNull()).groupBy(*stream, run, record).agg(F.max(arrived).alias("last")).join(runs.select(*stream, run, "k"), [*stream, run])
-    by_record = Window.partitionBy(*stream, record).orderBy("k")
-    records = records.withColumn("has_before", F.coalesce(F.lag("k").over(by_record) == F.col("k") - 1, F.lit(False)))
-    records = records.withColumn("has_after", F.coalesce(F.lead("k").over(by_record) == F.col("k") + 1, F.lit(False)))
-    records = records.where("has_before or has_after").drop("k")
-    # One row a record and wanted field, whether or not the record has the field: an absent key equals null.
-    found_in = records.select(*[F.col(s).alias(f"q_{s}") for s in stream], F.col(run).alias("q_run"), F.col(record).alias("q_rec"), "last", "has_before", "has_after")
-    same = reduce(lambda a, s: a & F.col(f"w_{s}").eqNullSafe(F.col(f"q_{s}")), stream, F.col("w_run") == F.col("q_run"))
-    needed = cut(wanted.join(found_in, same & F.when(F.col("is_new"), F.col("has_before")).otherwise(F.col("has_after"))))
-    counts = needed.groupBy(*[f"w_{s}" for s in stream], "into", "at", "w_field", "is_new").agg(F.count("*").alias("n"))
-    asked = needed.groupBy(*[f"q_{s}" for s in stream], "q_run", "q_rec", "last").agg(F.collect_set(F.struct("into", "is_new", "w_field")).alias("asked"))
-    asked_on = reduce(lambda a, s: a & F.col(s).eqNullSafe(F.col(f"q_{s}")), stream, (F.col(run) == F.col("q_run")) & (F.col(record) == F.col("q_rec")) & F.col(arrived).eqNullSafe(F.col("last")))
-    filled = values.where(F.col(record).isNotNull()).join(asked, asked_on).select(*[F.col(s).alias(f"w_{s}") for s in stream], record, "fields", F.explode("asked").alias("a"))
-    filled = filled.select(*[f"w_{s}" for s in stream], record, "a.*", F.try_element_at("fields", F.col("a.w_field")).alias("x"))
-    filled = filled.where(F.col("x.value").isNotNull()).select(*[f"w_{s}" for s in stream], record, "into", "is_new", "w_field", "x.kind", "x.value").distinct()
-    item = [F.col(record), F.col("kind"), F.col("value")]
-    marks = filled.groupBy(*[f"w_{s}" for s in stream], "into", "w_field", "is_new").agg(
-        F.count("*").alias("m"),
-        F.sum(F.xxhash64(F.lit(1), *item).cast("decimal(20,0)")).alias("a"),
-        F.sum(F.xxhash64(F.lit(2), *item).cast("decimal(20,0)")).alias("b"),
-    )
-    keys = [*[f"w_{s}" for s in stream], "into", "w_field", "is_new"]
-    signed = counts.join(marks, keys, "left").na.fill(0, ["m", "a", "b"])
-    pair_on = [*[f"w_{s}" for s in stream], "into", "at", "n", "m", "a", "b"]
-    old = signed.where(~F.col("is_new")).select(*pair_on, F.col("w_field").alias("old_field"))
-    new = signed.where(F.col("is_new")).select(*pair_on, F.col("w_field").alias("new_field"))
-    slot = Window.partitionBy(*pair_on)
-    old = old.withColumn("slot", F.row_number().over(slot.orderBy("old_field")))
-    new = new.withColumn("slot", F.row_number().over(slot.orderBy("new_field")))
-    renamed = old.join(new, [*pair_on, "slot"]).select(*[F.col(f"w_{s}").alias(s) for s in stream], F.col("at").alias("run"), "old_field", "new_field", F.lit("renamed").alias("change_kind"))
-    used = renamed.select(*stream, F.col("run").alias("at"), F.explode(F.array(F.struct(F.col("old_field").alias("field"), F.lit(False).alias("is_new")), F.struct(F.col("new_field").alias("field"), F.lit(True).alias("is_new")))).alias("u")).select(*stream, "at", "u.*")
-    single = sides.join(used, [*stream, "at", "field", "is_new"], "left_anti").select(
-        *on_stream, F.col("at").alias("run"),
-        F.when(F.col("is_new"), "").otherwise(F.col("field")).alias("old_field"), F.when(F.col("is_new"), F.col("field")).otherwise("").alias("new_field"),
-        F.when(F.col("is_new"), "added").otherwise("removed").alias("change_kind"),
+    kinds = dict(df.dtypes)
+    keys = [*stream, run]
+    plain = lambda c, other: (F.col(c) if c else F.lit(other))
+    rows = df.select(
+        *keys, F.col(sequence).alias("seq"), F.col(record).cast("string").alias("record"), F.col(arrived).alias("arrived"), F.col(body).alias("body"),
+        plain(text, False).alias("text"), plain(header, None).cast("array<string>").alias("header"),
+    )
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    n = len(keys)
+    shapes = rows.mapInArrow(lambda batches: _shapes(batches, n), f"{head}, seq {kinds[sequence]}, fields array<struct<field: string, bits: int>>")
+    # Batches of one file mostly agree on its fields: what is collected is distinct, and merged only where they differ.
+    parts = shapes.groupBy(*keys).agg(F.min("seq").alias("seq"), F.collect_set("fields").alias("sets"))
+    merged = F.transform(
+        F.array_distinct(F.transform(F.flatten("sets"), lambda x: x["field"])),
+        lambda f: F.struct(f.alias("field"), F.aggregate(F.filter(F.flatten("sets"), lambda x: x["field"] == f), F.lit(0), lambda acc, x: acc.bitwiseOR(x["bits"])).alias("bits")),
+    )
+    parts = parts.select(*keys, "seq", F.when(F.size("sets") == 1, F.element_at("sets", 1)).otherwise(merged).alias("fields"))
+    files = parts.withColumn("fields", F.transform("fields", lambda f: F.struct(f["field"].alias("field"), F.coalesce(file_type(f["bits"]), F.lit("")).alias("type"))))
+    order = Window.partitionBy(*stream).orderBy("seq", run)
+    names = F.transform("fields", lambda f: f["field"])
+    typed = F.transform("fields", lambda f: F.concat(f["field"], F.lit("\x00"), f["type"]))
+    files = files.select(*keys, "seq", names.alias("names"), typed.alias("typed"))
+    for out, c, move in (("was", "names", F.lag), ("was_typed", "typed", F.lag), ("next", "names", F.lead), ("next_run", run, F.lead)):
+        files = files.withColumn(out, move(c).over(order))
+    won, lost = F.array_except("names", "was"), F.array_except("was", "names")
+    other = F.transform(F.array_except("typed", "was_typed"), lambda t: F.struct(F.split(t, "\x00")[0].alias("field"), F.split(t, "\x00")[1].alias("type")))
+    old_type = lambda f: F.filter("was_typed", lambda w: w.startswith(F.concat(f, F.lit("\x00"))) & ~w.endswith("\x00"))
+    retyped = F.filter(other, lambda f: (f["type"] != "") & (F.size(old_type(f["field"])) > 0))
+    steps = files.select(
+        *keys, "next_run", won.alias("won"), lost.alias("lost"), F.transform(retyped, lambda f: f["field"]).alias("retyped"),
+        F.when((F.size(won) > 0) & (F.size(lost) > 0), won).alias("ask_won"),
+        F.when((F.size(F.array_except("next", "names")) > 0) & (F.size(F.array_except("names", "next")) > 0), F.array_except("names", "next")).alias("ask_lost"),
     )
-    typed = retyped.select(*stream, F.col(run).alias("run"), F.col("field").alias("old_field"), F.col("field").alias("new_field"), F.lit("type_changed").alias("change_kind"))
-    return renamed.unionByName(single).unionByName(typed)
+    asked = steps.where("ask_won is not null or ask_lost is not null").select(*[F.col(k).alias(f"q_{k}") for k in keys], "ask_won", "ask_lost", "next_run")
+    on = reduce(lambda x, k: x & F.col(k).eqNullSafe(F.col(f"q_{k}")), stream, F.col(run) == F.col(f"q_{run}"))
+    held = rows.where("record is not null").join(asked, on).select(*keys, "seq", "record", "arrived", "body", "text", "ask_won", "ask_lost", "next_run")
+    streams = ", ".join(f"{k} {kinds[k]}" for k in stream)
+    cells = "array<struct<field: string, a: long, b: long>>"
+    marked = held.mapInArrow(lambda batches: _marks(batches, n), f"{streams + ', ' if stream else ''}into {kinds[run]}, record string, is_new boolean, arrived {kinds[arrived]}, cells {cells}")
+    last = lambda side: F.max(F.when(side, F.struct("arrived", "cells")))["cells"]
+    both = marked.groupBy(*stream, "into", "record").agg(last(F.col("is_new")).alias("new"), last(~F.col("is_new")).alias("old")).where("new is not null and old is not null")
+    side = lambda c, is_new: F.transform(c, lambda x: F.struct(F.lit(is_new).alias("is_new"), x["field"].alias("field"), x["a"].alias("a"), x["b"].alias("b")))
+    told = both.select(*stream, "into", F.inline(F.concat(side("new", True), side("old", False))))
+    moved = lambda c, is_new: F.transform(c, lambda f: F.struct(F.lit(is_new).alias("is_new"), f.alias("field"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b")))
+    base = steps.select(*stream, F.col(run).alias("into"), F.inline(F.concat(moved("won", True), moved("lost", False))))
+    signed = base.unionByName(told).groupBy(*stream, "into", "is_new", "field").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    listed = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("field"))))
+    met = signed.groupBy(*stream, "into", "a", "b").agg(listed(~F.col("is_new")).alias("old"), listed(F.col("is_new")).alias("new"))
+    pairs = F.when(F.col("a").isNull(), 0).otherwise(F.least(F.size("old"), F.size("new")))
+    change = lambda x, y, kind: F.struct(x.alias("old_field"), y.alias("new_field"), F.lit(kind).alias("change_kind"))
+    head_of = lambda c: F.slice(c, 1, F.col("p"))
+    rest = lambda c: F.slice(F.col(c), F.col("p") + 1, F.size(c))
+    empty = F.lit("")
+    found = F.concat(
+        F.transform(F.arrays_zip(head_of("old").alias("o"), head_of("new").alias("n")), lambda z: change(z["o"], z["n"], "renamed")),
+        F.transform(rest("old"), lambda f: change(f, empty, "removed")), F.transform(rest("new"), lambda f: change(empty, f, "added")),
+    )
+    moves = met.withColumn("p", pairs).select(*stream, F.col("into").alias("run"), F.inline(found))
+    return moves.unionByName(steps.select(*stream, F.col(run).alias("run"), F.inline(F.transform("retyped", lambda f: change(f, f, "type_changed")))))
 
 
 def with_header(df: DataFrame, cells: list[str], *, stream: list[str], run: str, line: str, arrived: str, record: str, rest: list[str]) -> DataFrame:
@@ -247,12 +314,13 @@ def with_header(df: DataFrame, cells: list[str], *, stream: list[str], run: str,
     """
     clean = lambda c: F.lower(F.regexp_replace(c, "^[\\s\\uFEFF]+|[\\s\\uFEFF]+$", ""))
     head = df.where(F.col(line) == 0).groupBy(*stream, run).agg(F.max_by(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in cells]), F.struct(arrived, F.concat_ws("\x1f", *cells))).alias("_h"))
+    # What a header says is worked out once a file, not once a line.
+    named = F.transform("_h", lambda c, i: F.when((c == "") | (F.array_position("_h", c) != i + 1), F.concat(F.lit("_cell_"), i)).otherwise(c))
     head = head.select(*[F.col(s).alias(f"h_{s}") for s in stream], F.col(run).alias("h_run"), F.transform("_h", clean).alias("_h"))
+    head = head.select(*[f"h_{s}" for s in stream], "h_run", named.alias("_n")).withColumn("_own", F.filter("_n", lambda c: ~c.startswith("_cell_")))
     on = reduce(lambda a, s: a & F.col(s).eqNullSafe(F.col(f"h_{s}")), stream, F.col(run) == F.col("h_run"))
-    named = F.transform("_h", lambda c, i: F.when((c == "") | (F.array_position("_h", c) != i + 1), F.concat(F.lit("_cell_"), i)).otherwise(c))
     texts = F.array(*[F.nullif(F.col(c), F.lit("")) for c in cells])
-    body = F.map_filter(F.map_from_arrays("_n", texts), lambda k, v: ~k.startswith("_cell_") | v.isNotNull())
-    lines = df.join(head, on).withColumn("_n", named)
+    body = F.map_filter(F.map_from_arrays("_n", texts), lambda k, v: v.isNotNull() | ~k.startswith("_cell_"))
     is_head = F.col(line) == 0
     # Null cells must survive: an object made of a map drops none of its keys.
-    return lines.select(*stream, run, arrived, record, *rest, F.when(~is_head, F.to_json(body, {"ignoreNullFields": "false"})).alias("record_json"), F.when(is_head, F.filter("_n", lambda c: ~c.startswith("_cell_"))).alias("header"))
+    return df.join(head, on).select(*stream, run, arrived, record, *rest, F.when(~is_head, F.to_json(body, {"ignoreNullFields": "false"})).alias("record_json"), F.when(is_head, F.col("_own")).alias("header"))

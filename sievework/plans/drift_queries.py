@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.operators.drift import TYPES, ingest, promote, schema_changes, type_of, values_of, with_header
-from sievework.session import cut, table
+from sievework.operators.drift import TYPES, ingest, promote, schema_changes, type_of, with_header
+from sievework.session import table
 
 #: Target schema of each table and the other names approved for its columns.
 METRICS = {
@@ -47,17 +47,6 @@ def _error_rows(spark: SparkSession, d: str) -> DataFrame:
     return with_header(table(spark, d, "errors"), CELLS, stream=["workspace_id"], run="run_id", line="line_no", arrived="recorded_at", record="error_id", rest=["run_seq", "line_no", "deleted_at"])
 
 
-def _cell_kind(fields):
-    """Text cells have no JSON type; a cell counts as boolean, integer or string by its form."""
-
-    def kind(text):
-        plain = F.trim(text)
-        return F.when(F.lower(plain).isin("true", "false"), "boolean").when(plain.rlike(r"^[+-]?[0-9]+$"), "integer").when(text.isNotNull(), "string")
-
-    named = F.map_filter(fields, lambda k, v: ~k.startswith("_cell_"))
-    return F.transform_values(named, lambda k, v: F.struct(kind(v["value"]).alias("kind"), v["value"].alias("value")))
-
-
 def _text_type(bits):
     """boolean if all filled cells are, integer if all are, else string."""
     return F.when(bits == 1 << TYPES.index("boolean"), "boolean").when(bits == 1 << TYPES.index("integer"), "integer").when(bits != 0, "string")
@@ -69,18 +58,12 @@ def _file_type(bits):
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     # Both tables go through one plan, told apart by their name.
-    stream = ["table_name", "workspace_id"]
-    named = lambda df, name, record, arrived: df.withColumn("table_name", F.lit(name)).withColumnsRenamed({record: "record", arrived: "arrived"})
-    metrics = named(_metric_rows(spark, d), "language_metrics", "record", "ingested_at")
-    errors = cut(named(_error_rows(spark, d), "errors", "error_id", "recorded_at"))
-    keep = [*stream, "run_id", "record", "arrived"]
-    key = [*keep, "run_seq"]
-    values = values_of(ingest(metrics, "record_json", METRICS, keep), METRICS, keep).unionByName(
-        values_of(ingest(errors.where(F.col("record_json").isNotNull()), "record_json", ERRORS, keep), ERRORS, keep).withColumn("fields", _cell_kind("fields"))
-    )
-    declared = errors.where(F.col("header").isNotNull()).select(*stream, "run_id", F.explode("header").alias("field"))
-    rows = metrics.select(*key).unionByName(errors.select(*key))
-    changes = schema_changes(rows, values, declared, stream=stream, run="run_id", sequence="run_seq", record="record", arrived="arrived", file_type=_file_type)
+    columns = ["table_name", "workspace_id", "run_id", "run_seq", "record", "arrived", "body", "is_text", "header"]
+    none = F.lit(None).cast("array<string>")
+    metrics = _metric_rows(spark, d).select(F.lit("language_metrics").alias("table_name"), "workspace_id", "run_id", "run_seq", "record", F.col("ingested_at").alias("arrived"), F.col("record_json").alias("body"), F.lit(False).alias("is_text"), none.alias("header"))
+    errors = _error_rows(spark, d).select(F.lit("errors").alias("table_name"), "workspace_id", "run_id", "run_seq", F.col("error_id").alias("record"), F.col("recorded_at").alias("arrived"), F.col("record_json").alias("body"), F.lit(True).alias("is_text"), "header")
+    rows = metrics.select(columns).unionByName(errors.select(columns))
+    changes = schema_changes(rows, stream=["table_name", "workspace_id"], run="run_id", sequence="run_seq", record="record", arrived="arrived", body="body", text="is_text", header="header", file_type=_file_type)
     return changes.select("table_name", F.col("run").alias("run_id"), "old_field", "new_field", "change_kind")
 
 

@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from sievework.operators.drift import ingest, promote, schema_changes, values_of, with_header
+from sievework.operators.drift import ingest, promote, schema_changes, with_header
 
 T = dt.datetime(2025, 1, 1)
 TARGET = {"n": "bigint", "s": "string", "f": "double", "b": "boolean", "l": "array<string>"}
@@ -16,8 +16,7 @@ def frame(spark, rows):
 
 def changes(spark, rows):
     df = frame(spark, rows)
-    values = values_of(ingest(df, "j", TARGET, KEEP), TARGET, KEEP)
-    out = schema_changes(df, values, stream=["ws"], run="run", sequence="seq", record="rec", arrived="at").collect()
+    out = schema_changes(df, stream=["ws"], run="run", sequence="seq", record="rec", arrived="at", body="j").collect()
     return sorted((r.run, r.old_field, r.new_field, r.change_kind) for r in out)
 
 
