@@ -21,6 +21,8 @@ _TOKEN = re.compile(
 _KEYWORDS = frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split())
 _BINARY = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 3, "<=": 3, ">": 3, ">=": 3, "+": 4, "-": 4, "|": 4, "^": 4, "*": 5, "/": 5, "%": 5, "<<": 5, ">>": 5, "&": 5, "&^": 5}
 _ASSIGN = frozenset("= += -= *= /= %= &= |= ^= <<= >>= &^=".split())
+#: Most tokens: a plain name, or a sign that begins no longer one, after blanks.
+_PLAIN = re.compile(r"[ \t]*(?:([A-Za-z_][A-Za-z0-9_]*)(?!\w)|([,;()\[\]{}]|\.(?![.0-9])|=(?!=)|:(?!=)))")
 _STOP = frozenset(("func", "type", "var", "const", "import", "case", "default"))
 _INSERT = frozenset(("break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"))
 
@@ -64,11 +66,21 @@ class GoParser(ListParser):
 
     def lex(self) -> list[tuple[str, str, int]]:
         text = self.text
+        plain = _PLAIN.match
         toks: list[tuple[str, str, int]] = []
         pos, size = 0, len(text)
         match = _TOKEN.match
         semi = False
         while pos < size:
+            m = plain(text, pos)
+            if m:
+                value = m.group(1)
+                kind = "p" if not value else "k" if value in _KEYWORDS else "n"
+                value = value or m.group(2)
+                toks.append((kind, value, m.end() - len(value)))
+                semi = kind == "n" or value in _INSERT
+                pos = m.end()
+                continue
             m = match(text, pos)
             if not m:
                 end = text.find("\n", pos)

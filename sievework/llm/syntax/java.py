@@ -22,6 +22,8 @@ _PRIMITIVE = frozenset("boolean byte char double float int long short".split())
 _MODIFIERS = frozenset("abstract default final native private protected public static strictfp synchronized transient volatile".split())
 _BINARY = {"||": 1, "&&": 2, "|": 3, "^": 4, "&": 5, "==": 6, "!=": 6, "<": 7, ">": 7, "<=": 7, ">=": 7, "instanceof": 7, "<<": 8, ">>": 8, ">>>": 8, "+": 9, "-": 9, "*": 10, "/": 10, "%": 10}
 _ASSIGN = frozenset("= += -= *= /= &= |= ^= %= <<= >>= >>>=".split())
+#: Most tokens: a plain name, or a sign that begins no longer one, after blanks.
+_PLAIN = re.compile(r"[ \t\n]*(?:([A-Za-z_$][A-Za-z0-9_$]*)(?![\w$])|([,;()\[\]{}@]|\.(?![.0-9])|=(?!=)))")
 _STOP = frozenset(("class", "interface", "enum", "import", "public", "private", "protected", "case", "default", "static"))
 _OPEN = {"(": ")", "[": "]", "{": "}"}
 
@@ -62,8 +64,14 @@ class JavaParser(ListParser):
         text, size = self.text, len(self.text)
         toks: list[tuple[str, str, int]] = []
         pos = 0
-        match = _TOKEN.match
+        match, plain = _TOKEN.match, _PLAIN.match
         while pos < size:
+            m = plain(text, pos)
+            if m:
+                value = m.group(1)
+                toks.append(("k" if value in _KEYWORDS else "n", value, m.start(1)) if value else ("p", m.group(2), m.end() - 1))
+                pos = m.end()
+                continue
             m = match(text, pos)
             if not m:
                 if text[pos] == "\x1a" and pos == size - 1:

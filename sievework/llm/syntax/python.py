@@ -19,6 +19,8 @@ _BODY = {
 }
 _INDENT = re.compile(r"[ \t\f]*")
 _SKIP = re.compile(r"(?:[ \t\f]|\\\n)*(?:#[^\n]*)?")
+#: Most tokens: a plain name that begins no string, or a sign that begins no longer one, after blanks.
+_PLAIN = re.compile(r"[ \t\f]*(?:([A-Za-z_][A-Za-z0-9_]*)(?![\w·'\"])|([,()\[\]{}]|\.(?![.0-9])|:(?!=)|=(?!=)))")
 _ESCAPE = re.compile(r"\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]{5}|0010[0-9a-fA-F]{4})|N\{[^{}]+\}|[\s\S])")
 _BROKEN = frozenset(("\\x", "\\u", "\\U", "\\N"))
 # Words (fixed values of the language).
@@ -75,6 +77,7 @@ class PythonParser(ListParser):
         open_: list[tuple[str, int]] = []
         pos = 1 if text.startswith("\ufeff") else 0
         fresh = True
+        plain = _PLAIN.match
         while pos < size:
             if fresh and not open_:
                 m = _INDENT.match(text, pos)
@@ -113,6 +116,23 @@ class PythonParser(ListParser):
                     elif other != alternative[-1]:
                         self.note(Fault(at, "tabs and spaces are mixed"))
                 pos = at
+            m = plain(text, pos)
+            if m:
+                v = m.group(1)
+                pos = m.end()
+                if v:
+                    toks.append(("k" if v in _KEYWORDS else "n", v, m.start(1)))
+                    continue
+                v = m.group(2)
+                if v in "([{":
+                    open_.append((v, pos - 1))
+                elif v in _CLOSE:
+                    if not open_ or open_[-1][0] != _CLOSE[v]:
+                        self.note(Fault(pos - 1, f"{v!r} closes nothing that is open"))
+                    if open_:
+                        open_.pop()
+                toks.append(("p", v, pos - 1))
+                continue
             pos = _SKIP.match(text, pos).end()
             if pos >= size:
                 break

@@ -58,10 +58,17 @@ class ScriptParser(Parser):
 
     def scan(self) -> None:
         """Read the token at ``pos``."""
-        text = self.text
-        m = _SKIP.match(text, self.pos)
-        begin, self.at = self.pos, m.end()
-        self.nl = self.at > begin and ("\n" in text[begin : self.at] or "\r" in text[begin : self.at] or "\u2028" in text[begin : self.at])
+        text, begin = self.text, self.pos
+        # Mostly there is nothing to skip, or one blank.
+        c = text[begin : begin + 1]
+        at = begin + 1 if c == " " else begin
+        if c == " ":
+            c = text[at : at + 1]
+        if "!" <= c <= "~" and c != "/":
+            self.at, self.nl = at, False
+        else:
+            self.at = _SKIP.match(text, begin).end()
+            self.nl = self.at > begin and ("\n" in text[begin : self.at] or "\r" in text[begin : self.at] or "\u2028" in text[begin : self.at])
         if self.at >= len(text):
             self.kind, self.value, self.pos = "$", "", len(text)
             return
