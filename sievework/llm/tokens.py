@@ -4,9 +4,11 @@ Texts are split into words by the vocabulary's pattern inside the JVM.  Merges n
 distinct word is encoded once and the ids are joined back by position.
 
 Words are Zipf-distributed.  The words that make up at least one in ``HOT_WORDS`` of all occurrences are, by
-counting, at most ``HOT_WORDS`` many; of these the ones of up to ``HOT_CHARS`` characters are broadcast, a size
-bounded for any corpus (each has at most 4 * HOT_CHARS bytes and as many ids).  All other words are joined by
-shuffle, and none of them can be a skewed key unless it is longer than ``HOT_CHARS``; AQE splits those.
+counting, at most ``HOT_WORDS`` many; of these the ones of up to ``HOT_CHARS`` characters are shipped to the tasks, a
+size bounded for any corpus (each has at most 4 * HOT_CHARS bytes and as many ids).  They are replaced where the text
+is read, so a document travels as its ids, with a gap for each cold word.  Cold words are joined with the table by
+shuffle, and none of them can be a skewed key unless it is longer than ``HOT_CHARS``; AQE splits those.  Documents
+and the ids of their cold words meet once, sorted by id and position, and are merged as a stream.
 
 Defined results
 ---------------
@@ -20,7 +22,9 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +37,8 @@ HOT_CHARS = 32
 
 # White space as Unicode defines it, spelled out because Java's \s knows ASCII only.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The split pattern of the byte-level vocabularies (fixed value), in Java's syntax.
-WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: The split pattern of the byte-level vocabularies (fixed value), in Java's syntax; frequent alternatives come first, which changes nothing as they exclude each other.
+WORD_PATTERN = rf" ?\p{{L}}++| ?\p{{N}}++|'(?:s|t|re|ve|m|ll|d)| ?[^{_SPACE}\p{{L}}\p{{N}}]++|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: The same for Python's ``regex``, as the vocabularies publish it (fixed value).
 PYTHON_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -70,43 +74,116 @@ def encode_words(words: DataFrame, ranks: bytes) -> DataFrame:
     return words.select("word", "n").mapInArrow(scan, "word string, n long, ids array<int>")
 
 
-def split_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a word: ``(id, pos, word)``.
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text, words)``: the words, or the text where the JVM's Unicode tables are too old for a character of it."""
+    split = F.when(~F.col("text").rlike(r"\p{Cn}"), F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("words", split)
+    return rows.select("id", F.when(F.col("words").isNull(), F.col("text")).alias("text"), "words")
 
-    Texts with characters that the JVM's Unicode tables don't know yet are split in Python, whose tables are newer.
-    """
-    kind = dict(df.dtypes)[id_col]
-    filled = df.where(F.col(text_col) != "").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    newer = F.col("text").rlike(r"\p{Cn}")
-    known = filled.where(~newer).select("id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))).alias("pos", "word"))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """Ids and word lists of the texts of ``_texts``; Python's tables split what the JVM left."""
+    import regex
+
+    find = regex.compile(PYTHON_PATTERN).findall
+    for batch in batches:
+        if batch.column(2).null_count:
+            left = batch.column(2).is_null()
+            newer = batch.select([0, 1]).filter(left)
+            yield newer.column(0), pa.array([find(t) for t in newer.column(1).to_pylist()], pa.list_(pa.string()))
+            batch = batch.filter(pc.invert(left))
+        if batch.num_rows:
+            yield batch.column(0), batch.column(2)
 
-        pattern = regex.compile(PYTHON_PATTERN)
-        for batch in batches:
-            split = [pattern.findall(t) for t in batch.column(1).to_pylist()]
-            at = [i for i, words in enumerate(split) for _ in words]
-            pos = [k for words in split for k in range(len(words))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), pa.array([w for words in split for w in words], pa.string())], names=["id", "pos", "word"])
 
-    return known.unionByName(filled.where(newer).mapInArrow(scan, f"id {kind}, pos int, word string"))
+def word_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(word, n)``: distinct words of all texts; each batch is counted where it is read."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, words in _words(batches):
+            counts = pc.value_counts(words.flatten())
+            yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], names=["word", "n"])
+
+    return _texts(df, id_col, text_col).mapInArrow(scan, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _spans(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All words in one array, and the offset of each list in it."""
+    offsets = np.asarray(words.offsets)
+    return words.flatten(), (offsets - offsets[0]).astype(np.int64)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (pos -1) and their cold words in order, whole rows repeated or not -> ``(id, ids)``."""
+    held: pa.Table | None = None
+
+    def merged(table: pa.Table) -> pa.RecordBatch:
+        ids, pos = table["id"].combine_chunks(), np.asarray(table["pos"])
+        equal = pc.fill_null(pc.equal(ids.slice(1), ids.slice(0, len(ids) - 1)), True)
+        known = np.asarray(ids.is_valid())
+        same = np.asarray(equal) & (known[1:] == known[:-1])
+        kept = np.r_[True, ~(same & (pos[1:] == pos[:-1]))]
+        table = table.filter(pa.array(kept))
+        document = np.asarray(table["pos"]) < 0
+        flat, offsets = _spans(table.filter(pa.array(document))["ids"].combine_chunks())
+        flat = np.asarray(flat)
+        cold, ends = _spans(table.filter(pa.array(~document))["ids"].combine_chunks())
+        gap = flat < 0
+        sizes = np.ones(len(flat), np.int64)
+        sizes[gap] = np.diff(ends)
+        starts = np.r_[0, np.cumsum(sizes)]
+        out = np.empty(starts[-1], np.int32)
+        out[starts[:-1][~gap]] = flat[~gap]
+        out[np.repeat(starts[:-1][gap] - ends[:-1], np.diff(ends)) + np.arange(len(cold))] = np.asarray(cold)
+        lists = pa.ListArray.from_arrays(pa.array(starts[offsets], pa.int32()), pa.array(out))
+        return pa.RecordBatch.from_arrays([table.filter(pa.array(document))["id"].combine_chunks(), lists], names=["id", "ids"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        last = held["id"][-1].as_py()
+        other = pc.fill_null(pc.not_equal(held["id"], last), True) if last is not None else held["id"].is_valid()
+        n = len(held) - int(np.argmax(np.asarray(other)[::-1])) if pc.any(other).as_py() else 0
+        if n:
+            yield merged(held.slice(0, n))
+            held = held.slice(n).combine_chunks()
+    if held is not None:
+        yield merged(held)
 
 
 def encode_corpus(df: DataFrame, id_col: str, text_col: str, ranks: bytes) -> DataFrame:
     """``(id_col, ids)``: the token ids of each text, in order."""
-    words = split_words(df, id_col, text_col)
-    table = cut(encode_words(words.groupBy("word").agg(F.count("*").alias("n")), ranks))
+    kind = dict(df.dtypes)[id_col]
+    table = cut(encode_words(word_counts(df, id_col, text_col), ranks))
     total = table.agg(F.sum("n")).first()[0] or 0
     hot = (F.col("n") * HOT_WORDS >= total) & (F.length("word") <= HOT_CHARS)
-    near = F.broadcast(table.where(hot).select(F.col("word").alias("w"), "ids"))
+    near = table.where(hot).select("word", "ids").toArrow()  # at most HOT_WORDS rows, see above
+    hot_words, hot_ids = near["word"].combine_chunks().cast(pa.string()), near["ids"].combine_chunks().cast(pa.list_(pa.int32()))
+    gap = pa.array([[-1]], pa.list_(pa.int32()))
+    texts = _texts(df, id_col, text_col)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.concat_arrays([hot_ids, gap])
+        for ids, words in _words(batches):
+            flat, offsets = _spans(words)
+            at = pc.fill_null(pc.index_in(flat, value_set=hot_words), len(hot_words))
+            tokens, ends = _spans(known.take(at))
+            lists = pa.ListArray.from_arrays(pa.array(ends[offsets], pa.int32()), tokens)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(ids), -1, np.int32)), lists], names=["id", "pos", "ids"])
+
+    def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, words in _words(batches):
+            flat, offsets = _spans(words)
+            at = np.flatnonzero(np.asarray(pc.invert(pc.is_in(flat, value_set=hot_words))))
+            row = np.searchsorted(offsets, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array((at - offsets[row]).astype(np.int32)), flat.take(pa.array(at))], names=["id", "pos", "word"])
+
     far = table.where(~hot).select(F.col("word").alias("w"), "ids")
-    first = words.join(near, F.col("word") == F.col("w"), "left")
-    found = first.where(F.col("ids").isNotNull()).select("id", "pos", "ids")
-    rest = first.where(F.col("ids").isNull()).select("id", "pos", "word").join(far, F.col("word") == F.col("w")).select("id", "pos", "ids")
-    every = df.select(F.col(id_col).alias("id"), F.lit(-1).alias("pos"), F.array().cast("array<int>").alias("ids"))
-    parts = found.unionByName(rest).unionByName(every).groupBy("id").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("parts"))
-    return parts.select(F.col("id").alias(id_col), F.flatten(F.col("parts.ids")).alias("ids"))
+    rest = texts.mapInArrow(cold, f"id {kind}, pos int, word string").join(far, F.col("word") == F.col("w")).select("id", "pos", "ids")
+    parts = texts.mapInArrow(documents, f"id {kind}, pos int, ids array<int>").unionByName(rest)
+    return parts.repartition("id").sortWithinPartitions("id", "pos").mapInArrow(_merge, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def pieces(spark: SparkSession, ranks: bytes) -> DataFrame:
