@@ -76,7 +76,8 @@ def encode_words(words: DataFrame, ranks: bytes) -> DataFrame:
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, text, words)``: the words, or the text where the JVM's Unicode tables are too old for a character of it."""
-    split = F.when(~F.col("text").rlike(r"\p{Cn}"), F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
+    newer = (F.octet_length("text") != F.length("text")) & F.col("text").rlike(r"\p{Cn}")
+    split = F.when(~newer, F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("words", split)
     return rows.select("id", F.when(F.col("words").isNull(), F.col("text")).alias("text"), "words")
 
