@@ -38,6 +38,36 @@ def _sql_ledger(*columns: str) -> str:
     return f"(SELECT DISTINCT contribution_id, {', '.join(columns)} FROM contributions)"
 
 
+_PORTABLE = "array_to_string(list_filter(string_split(replace(relative_path, '\\', '/'), '/'), lambda s: s <> '' AND s <> '.'), '/')"
+
+
+def _sql_delivered(*fields: str) -> str:
+    """The last delivery of each file of each run, by its portable path and its digest as a number; ties take the greatest values."""
+    order = ", ".join(f"{f} DESC NULLS LAST" for f in ("ingested_at", *fields))
+    return f"""raw AS (SELECT *, {_PORTABLE} AS path, regexp_extract(trim(content_sha256), '^(?:sha256:)?(?:0x)?([0-9a-f]+)$', 1, 'i') AS plain FROM contributions),
+keyed AS (SELECT *, CASE WHEN plain <> '' THEN repeat('0', length(ltrim(plain, '0')) % 2) || lower(ltrim(plain, '0')) END AS digest FROM raw),
+delivered AS (SELECT workspace_id, subject_key, run_id, path, {', '.join(fields)} FROM keyed
+QUALIFY row_number() OVER (PARTITION BY workspace_id, subject_key, run_id, run_seq, path ORDER BY {order}) = 1)"""
+
+
+def _sql_runs(name: str, *group: str) -> str:
+    keys = "".join(f"{g}, " for g in group)
+    return f"""runs AS (SELECT *, row_number() OVER w AS k, lead(run_id) OVER w AS next_run FROM (SELECT {keys}run_id, min(run_seq) AS seq FROM {name} WHERE run_id IS NOT NULL GROUP BY ALL)
+WINDOW w AS (PARTITION BY {', '.join(group)} ORDER BY seq NULLS FIRST, run_id))"""
+
+
+def _sql_steps(*fields: str) -> str:
+    """Each file of each run beside itself in the subject's previous run."""
+    side = lambda at, name: ", ".join(f"{at}.{f} AS {name}_{f}" for f in fields)
+    none = ", ".join(f"NULL AS r_{f}" for f in fields)
+    one = "a.workspace_id = b.workspace_id AND a.subject_key = b.subject_key AND a.path IS NOT DISTINCT FROM b.path AND a.k + 1 = b.k"
+    return f"""WITH {_sql_delivered(*fields)}, {_sql_runs('contributions', 'workspace_id', 'subject_key')},
+files AS (SELECT d.*, k, next_run FROM delivered d JOIN runs USING (workspace_id, subject_key, run_id)),
+steps AS (SELECT b.workspace_id, b.subject_key, b.run_id, b.path, a.k IS NOT NULL AS was, true AS is_, {side('a', 'l')}, {side('b', 'r')} FROM files b LEFT JOIN files a ON {one} WHERE b.k > 1
+UNION ALL SELECT a.workspace_id, a.subject_key, a.next_run, a.path, true, false, {side('a', 'l')}, {none} FROM files a LEFT JOIN files b ON {one} WHERE a.next_run IS NOT NULL AND b.k IS NULL)
+"""
+
+
 Q: dict = {}
 SQL: dict[str, str] = {}
 
@@ -228,10 +258,10 @@ def ledger_text_coverage(spark, d):
 
 # -- hotspots
 
-_HOT = """WITH files AS (SELECT DISTINCT workspace_id, subject_key, detected_language, lower(relative_path) AS path FROM contributions WHERE source_files_contribution = 1),
-cx AS (SELECT workspace_id, subject_key, path, max(callable_count) AS complexity FROM (SELECT workspace_id, subject_key, lower(relative_path) AS path, callable_count FROM contributions) GROUP BY ALL),
-ch AS (SELECT workspace_id, subject_key, path, count(DISTINCT digest) AS churn FROM (SELECT workspace_id, subject_key, lower(relative_path) AS path, lower(content_sha256) AS digest FROM contributions WHERE content_sha256 IS NOT NULL) GROUP BY ALL),
-j AS (SELECT f.*, complexity, churn FROM files f LEFT JOIN cx USING (workspace_id, subject_key, path) LEFT JOIN ch USING (workspace_id, subject_key, path)),
+_HOT = "WITH " + _sql_delivered("source_files_contribution", "detected_language", "callable_count", "digest") + """,
+files AS (SELECT DISTINCT workspace_id, subject_key, detected_language, path FROM delivered WHERE source_files_contribution = 1),
+held AS (SELECT workspace_id, subject_key, path, max(callable_count) AS complexity, nullif(count(DISTINCT digest), 0) AS churn FROM delivered GROUP BY ALL),
+j AS (SELECT f.*, complexity, churn FROM files f LEFT JOIN held USING (workspace_id, subject_key, path)),
 r AS (SELECT *, CASE WHEN complexity IS NOT NULL THEN dense_rank() OVER (PARTITION BY workspace_id, subject_key, detected_language, complexity IS NULL ORDER BY complexity) - 1 END AS i1,
  CASE WHEN churn IS NOT NULL THEN dense_rank() OVER (PARTITION BY workspace_id, subject_key, churn IS NULL ORDER BY churn) - 1 END AS i2 FROM j),
 m AS (SELECT *, max(i1) OVER (PARTITION BY workspace_id, subject_key, detected_language) AS d1, max(i2) OVER (PARTITION BY workspace_id, subject_key) AS d2 FROM r),
@@ -283,13 +313,12 @@ def colliding_ordinals(spark, d):
     return rows.select("c_custkey", F.when(F.col("n") > 1, (F.col("k") - 1).cast("bigint")).alias("ordinal"))
 
 
-_SPANS = """WITH s AS (SELECT l_suppkey AS path, l_orderkey AS id, l_partkey % 1000 + l_linenumber AS s0, l_partkey % 1000 + l_linenumber + l_quantity::BIGINT % 7 AS e0 FROM lineitem WHERE l_linenumber <= 2)
+_SPANS = """WITH s AS (SELECT l_suppkey AS path, l_orderkey AS id, l_partkey % 1000 + l_linenumber AS s0, l_partkey % 1000 + l_linenumber + l_quantity::BIGINT % 7 AS e0 FROM lineitem)
 """
 
 
 def _spans(spark, d):
     start = F.col("l_partkey") % 1000 + F.col("l_linenumber")
-    # The registered SQL still leaves out lines 3 to 7.
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), F.col("l_orderkey").alias("id"), start.alias("s0"), (start + F.col("l_quantity").cast("bigint") % 7).alias("e0"))
 
 
@@ -316,11 +345,8 @@ def hunk_overlap(spark, d):
 
 # -- snapshots
 
-_SIDE = """side{0} AS (SELECT workspace_id, subject_key, path, max(digest) AS digest, max(code) AS code FROM (SELECT workspace_id, subject_key, run_seq, lower(replace(relative_path, '\\', '/')) AS path, lower(content_sha256) AS digest, lines_of_code AS code FROM contributions) WHERE run_seq = {0} GROUP BY ALL)"""
-_EVIDENCE = f"""WITH {_SIDE.format(1)}, {_SIDE.format(2)},
-e AS (SELECT coalesce(a.workspace_id, b.workspace_id) AS workspace_id, coalesce(a.subject_key, b.subject_key) AS subject_key, coalesce(a.path, b.path) AS path, a.digest AS left_digest, b.digest AS right_digest,
- CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.digest IS NULL OR b.digest IS NULL THEN 'indeterminate' WHEN a.digest = b.digest THEN 'unchanged' ELSE 'changed' END AS state, a.code AS l, b.code AS r
- FROM side1 a FULL JOIN side2 b ON a.workspace_id = b.workspace_id AND a.subject_key = b.subject_key AND a.path = b.path)
+_EVIDENCE = """, e AS (SELECT workspace_id, subject_key, run_id, path, l_digest AS left_digest, r_digest AS right_digest,
+ CASE WHEN NOT was THEN 'added' WHEN NOT is_ THEN 'removed' WHEN l_digest IS NULL OR r_digest IS NULL THEN 'indeterminate' WHEN l_digest = r_digest THEN 'unchanged' ELSE 'changed' END AS state, {} FROM steps)
 """
 _FILE = ["workspace_id", "subject_key", "path"]
 _SUBJECT = ["workspace_id", "subject_key"]
@@ -329,8 +355,7 @@ _SUBJECT = ["workspace_id", "subject_key"]
 def _delivered(spark, d, *fields: str) -> DataFrame:
     """Each file of each run once: portable path, digest as a number, the row that arrived last.
 
-    Rows that tie in arrival are taken by their greatest values.  The registered SQL of the queries below still keys
-    files by lower case and takes the greatest value of every column.
+    Rows that tie in arrival are taken by their greatest values.
     """
     rows = table(spark, d, "contributions").withColumn("path", portable_path(F.col("relative_path"))).withColumn("digest", hex_number(F.col("content_sha256")))
     rows = rows.repartition(*_FILE)  # one exchange serves the deliveries and the runs of a file
@@ -344,43 +369,43 @@ def _numbered(spark, d, name: str, group: list[str]) -> DataFrame:
 
 
 def _steps(spark, d, *fields: str) -> DataFrame:
-    """Each file of each run beside itself in the subject's previous run.  The registered SQL below knows runs 1 and 2 only."""
+    """Each file of each run beside itself in the subject's previous run."""
     rows = D.with_runs(_delivered(spark, d, *fields), _numbered(spark, d, "contributions", _SUBJECT), _SUBJECT, "run_id")
     return D.steps(rows, _SUBJECT, "run_id", "path", [*fields])
 
 
-@query(_EVIDENCE + "SELECT workspace_id, subject_key, path, left_digest, right_digest, state FROM e")
+@query(_sql_steps("digest") + _EVIDENCE.format("1") + "SELECT workspace_id, subject_key, run_id, path, left_digest, right_digest, state FROM e")
 def snapshot_diff(spark, d):
     hexed = lambda c: F.lower(F.hex(c)).alias(c)
     return D.step_evidence(_steps(spark, d, "digest"), "digest").select(*_SUBJECT, "run_id", "path", hexed("left_digest"), hexed("right_digest"), "state")
 
 
-@query(_EVIDENCE + """, o AS (SELECT workspace_id, subject_key, left_digest AS digest, count(*) AS n_old, min(path) AS old_path FROM e WHERE state = 'removed' AND left_digest IS NOT NULL GROUP BY ALL),
-n AS (SELECT workspace_id, subject_key, right_digest AS digest, count(*) AS n_new, min(path) AS new_path FROM e WHERE state = 'added' AND right_digest IS NOT NULL GROUP BY ALL)
-SELECT workspace_id, subject_key, digest, CASE WHEN n_old = 1 AND n_new = 1 THEN 'exact' ELSE 'ambiguous' END AS kind, CASE WHEN n_old = 1 AND n_new = 1 THEN old_path END AS old_path,
-CASE WHEN n_old = 1 AND n_new = 1 THEN new_path END AS new_path, n_old, n_new FROM o JOIN n USING (workspace_id, subject_key, digest)""")
+@query(_sql_steps("digest") + _EVIDENCE.format("1") + """, o AS (SELECT workspace_id, subject_key, run_id, left_digest AS digest, count(*) AS n_old, min(path) AS old_path FROM e WHERE state = 'removed' AND left_digest IS NOT NULL GROUP BY ALL),
+n AS (SELECT workspace_id, subject_key, run_id, right_digest AS digest, count(*) AS n_new, min(path) AS new_path FROM e WHERE state = 'added' AND right_digest IS NOT NULL GROUP BY ALL)
+SELECT workspace_id, subject_key, run_id, digest, CASE WHEN n_old = 1 AND n_new = 1 THEN 'exact' ELSE 'ambiguous' END AS kind, CASE WHEN n_old = 1 AND n_new = 1 THEN old_path END AS old_path,
+CASE WHEN n_old = 1 AND n_new = 1 THEN new_path END AS new_path, n_old, n_new FROM o JOIN n USING (workspace_id, subject_key, run_id, digest)""")
 def exact_renames(spark, d):
     return D.exact_renames(snapshot_diff(spark, d), [*_SUBJECT, "run_id"], "path")
 
 
-@query(_EVIDENCE + """SELECT workspace_id, subject_key, coalesce(sum(CASE WHEN state = 'added' THEN r END), 0)::BIGINT AS added, coalesce(sum(CASE WHEN state = 'removed' THEN l END), 0)::BIGINT AS removed,
+@query(_sql_steps("digest", "lines_of_code") + _EVIDENCE.format("l_lines_of_code AS l, r_lines_of_code AS r") + """SELECT workspace_id, subject_key, run_id, coalesce(sum(CASE WHEN state = 'added' THEN r END), 0)::BIGINT AS added, coalesce(sum(CASE WHEN state = 'removed' THEN l END), 0)::BIGINT AS removed,
 coalesce(sum(CASE WHEN state = 'changed' THEN r - l END), 0)::BIGINT AS changed, CASE WHEN miss = 0 THEN delta END AS delta, CASE WHEN miss = 0 THEN (delta - (added - removed + changed))::BIGINT END AS residual,
 CASE WHEN miss > 0 THEN 'not_evaluable' WHEN delta = added - removed + changed THEN 'exact_reconciliation' ELSE 'unexplained_residual' END AS outcome
 FROM (SELECT *, (sum(coalesce(r, 0) - coalesce(l, 0)) OVER w)::BIGINT AS delta, sum(CASE WHEN (state IN ('added', 'changed', 'unchanged') AND r IS NULL) OR (state IN ('removed', 'changed', 'unchanged') AND l IS NULL) THEN 1 ELSE 0 END) OVER w AS miss
-FROM e WINDOW w AS (PARTITION BY workspace_id, subject_key)) GROUP BY workspace_id, subject_key, delta, miss""")
+FROM e WINDOW w AS (PARTITION BY workspace_id, subject_key, run_id)) GROUP BY workspace_id, subject_key, run_id, delta, miss""")
 def delta_attribution(spark, d):
     rows = D.step_evidence(_steps(spark, d, "digest", "lines_of_code"), "digest")
     rows = rows.withColumns({"l_value": F.col("before.lines_of_code"), "r_value": F.col("after.lines_of_code")})
     return D.attribute_rows(rows, [*_SUBJECT, "run_id"])
 
 
-_YEAR = "SELECT o_orderpriority, count(*)::DOUBLE AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders WHERE year(o_orderdate) = {0} GROUP BY ALL"
-
-
-@query(f"""WITH a AS ({_YEAR.format(1995)}), b AS ({_YEAR.format(1996)}), j AS (SELECT coalesce(a.o_orderpriority, b.o_orderpriority) AS o_orderpriority, a.o_orderpriority IS NULL OR b.o_orderpriority IS NULL AS absent, a.orders AS lo, b.orders AS ro, a.revenue AS lr, b.revenue AS rr
-FROM a FULL JOIN b ON a.o_orderpriority = b.o_orderpriority),
-u AS (SELECT o_orderpriority, 'orders' AS dimension, lo AS before, ro AS after, absent FROM j UNION ALL SELECT o_orderpriority, 'revenue', lr, rr, absent FROM j)
-SELECT o_orderpriority, dimension, before, after, round(after - before, 2) AS delta, CASE WHEN absent THEN 'side_absent' WHEN before IS NULL OR after IS NULL THEN 'measurement_unavailable' END AS reason FROM u WHERE after - before IS NULL OR after <> before""")
+@query("""WITH y AS (SELECT year(o_orderdate) AS year, o_orderpriority, count(*)::DOUBLE AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL),
+n AS (SELECT year, lead(year) OVER (ORDER BY year) AS next_year, row_number() OVER (ORDER BY year) AS k FROM (SELECT DISTINCT year FROM y)),
+a AS (SELECT next_year AS year, o_orderpriority, orders, revenue FROM y JOIN n USING (year) WHERE next_year IS NOT NULL), b AS (SELECT y.* FROM y JOIN n USING (year) WHERE k > 1),
+j AS (SELECT coalesce(a.year, b.year) AS year, coalesce(a.o_orderpriority, b.o_orderpriority) AS o_orderpriority, a.year IS NULL OR b.year IS NULL AS absent, a.orders AS lo, b.orders AS ro, a.revenue AS lr, b.revenue AS rr
+FROM a FULL JOIN b ON a.o_orderpriority = b.o_orderpriority AND a.year = b.year),
+u AS (SELECT year, o_orderpriority, 'orders' AS dimension, lo AS before, ro AS after, absent FROM j UNION ALL SELECT year, o_orderpriority, 'revenue', lr, rr, absent FROM j)
+SELECT year::INT AS year, o_orderpriority, dimension, before, after, round(after - before, 2) AS delta, CASE WHEN absent THEN 'side_absent' WHEN before IS NULL OR after IS NULL THEN 'measurement_unavailable' END AS reason FROM u WHERE after - before IS NULL OR after <> before""")
 def metric_deltas(spark, d):
     rows = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
     sums = rows.groupBy("year", "o_orderpriority").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("revenue"))
@@ -388,13 +413,15 @@ def metric_deltas(spark, d):
     return D.deltas(left, right, ["year", "o_orderpriority"], ["orders", "revenue"]).withColumn("delta", F.round("delta", 2))
 
 
-_LANG = f"SELECT workspace_id, subject_key, detected_language, sum(lines_of_code)::DOUBLE AS lines_of_code, sum(callable_count)::DOUBLE AS callable_count FROM {_sql_ledger('workspace_id', 'subject_key', 'detected_language', 'run_seq', 'lines_of_code', 'callable_count')} WHERE run_seq = {{0}} GROUP BY ALL"
+_CONTRIBUTION_RUNS = _sql_runs("contributions", "workspace_id", "subject_key")
 
 
-@query(f"""WITH a AS ({_LANG.format(1)}), b AS ({_LANG.format(2)}), j AS (SELECT workspace_id, subject_key, detected_language, a.subject_key IS NULL OR b.subject_key IS NULL AS absent, a.lines_of_code AS l1, b.lines_of_code AS r1, a.callable_count AS l2, b.callable_count AS r2
-FROM a FULL JOIN b USING (workspace_id, subject_key, detected_language)),
-u AS (SELECT workspace_id, subject_key, detected_language, 'lines_of_code' AS dimension, l1 AS before, r1 AS after, absent FROM j UNION ALL SELECT workspace_id, subject_key, detected_language, 'callable_count', l2, r2, absent FROM j)
-SELECT workspace_id, subject_key, detected_language, dimension, before, after, after - before AS delta, CASE WHEN absent THEN 'side_absent' WHEN before IS NULL OR after IS NULL THEN 'measurement_unavailable' END AS reason FROM u WHERE after - before IS NULL OR after <> before""")
+@query(f"""WITH {_CONTRIBUTION_RUNS}, g AS (SELECT workspace_id, subject_key, detected_language, run_id, sum(lines_of_code)::DOUBLE AS v1, sum(callable_count)::DOUBLE AS v2
+FROM {_sql_ledger('workspace_id', 'subject_key', 'detected_language', 'run_id', 'lines_of_code', 'callable_count')} GROUP BY ALL),
+n AS (SELECT g.*, k, next_run FROM g JOIN runs USING (workspace_id, subject_key, run_id)), a AS (SELECT * EXCLUDE (run_id), next_run AS run_id FROM n WHERE next_run IS NOT NULL), b AS (SELECT * FROM n WHERE k > 1),
+j AS (SELECT workspace_id, subject_key, run_id, detected_language, a.k IS NULL OR b.k IS NULL AS absent, a.v1 AS l1, b.v1 AS r1, a.v2 AS l2, b.v2 AS r2 FROM a FULL JOIN b USING (workspace_id, subject_key, run_id, detected_language)),
+u AS (SELECT workspace_id, subject_key, run_id, detected_language, 'lines_of_code' AS dimension, l1 AS before, r1 AS after, absent FROM j UNION ALL SELECT workspace_id, subject_key, run_id, detected_language, 'callable_count', l2, r2, absent FROM j)
+SELECT workspace_id, subject_key, run_id, detected_language, dimension, before, after, after - before AS delta, CASE WHEN absent THEN 'side_absent' WHEN before IS NULL OR after IS NULL THEN 'measurement_unavailable' END AS reason FROM u WHERE after - before IS NULL OR after <> before""")
 def language_deltas(spark, d):
     keys = ["workspace_id", "subject_key", "detected_language"]
 
@@ -404,10 +431,10 @@ def language_deltas(spark, d):
     return D.deltas(left, right, [*_SUBJECT, "run_id", "detected_language"], ["lines_of_code", "callable_count"])
 
 
-_ONE = "SELECT workspace_id, subject_key, lower(replace(relative_path, '\\', '/')) AS path, max(parse_status) AS parse_status, max(contribution_state) AS contribution_state, max(analyzed_sha) AS analyzed_sha FROM contributions WHERE run_seq = {0} GROUP BY ALL"
+_FIELDS_WATCHED = ("parse_status", "contribution_state", "analyzed_sha")
 
 
-@query(f"""WITH a AS ({_ONE.format(1)}), b AS ({_ONE.format(2)}), u AS ({' UNION ALL '.join(f"SELECT workspace_id, subject_key, path, '{f}' AS field, a.{f} AS before, b.{f} AS after FROM a JOIN b USING (workspace_id, subject_key, path)" for f in ('parse_status', 'contribution_state', 'analyzed_sha'))})
+@query(_sql_steps(*_FIELDS_WATCHED) + f""", u AS ({' UNION ALL '.join(f"SELECT workspace_id, subject_key, run_id, path, '{f}' AS field, l_{f} AS before, r_{f} AS after FROM steps WHERE was AND is_" for f in _FIELDS_WATCHED)})
 SELECT * FROM u WHERE before IS DISTINCT FROM after""")
 def status_transitions(spark, d):
     fields = ["parse_status", "contribution_state", "analyzed_sha"]
@@ -416,11 +443,14 @@ def status_transitions(spark, d):
     return D.transitions_of(both, [*_SUBJECT, "run_id", "path"], fields)
 
 
-_VER = "SELECT workspace_id, max(artifact_schema_version) AS schema_version, max(metric_contract_version) AS contract_version FROM language_metrics WHERE run_seq = {0} GROUP BY ALL"
+_DIFFERS = "a.{0} IS DISTINCT FROM b.{0}"
 
 
-@query(f"""WITH a AS ({_VER.format(1)}), b AS ({_VER.format(2)}) SELECT workspace_id, CASE WHEN a.contract_version IS DISTINCT FROM b.contract_version THEN 'incomparable' WHEN a.schema_version IS DISTINCT FROM b.schema_version THEN 'qualified' ELSE 'comparable' END AS verdict,
-concat_ws(',', CASE WHEN a.contract_version IS DISTINCT FROM b.contract_version THEN 'contract_version' END, CASE WHEN a.schema_version IS DISTINCT FROM b.schema_version THEN 'schema_version' END) AS differences FROM a JOIN b USING (workspace_id)""")
+@query(f"""WITH {_sql_runs('language_metrics', 'workspace_id')}, v AS (SELECT workspace_id, run_id, max(artifact_schema_version) AS schema_version, max(metric_contract_version) AS contract_version FROM language_metrics GROUP BY ALL),
+n AS (SELECT v.*, k, next_run FROM v JOIN runs USING (workspace_id, run_id))
+SELECT b.workspace_id, b.run_id, CASE WHEN {_DIFFERS.format('contract_version')} THEN 'incomparable' WHEN {_DIFFERS.format('schema_version')} THEN 'qualified' ELSE 'comparable' END AS verdict,
+concat_ws(',', CASE WHEN {_DIFFERS.format('contract_version')} THEN 'contract_version' END, CASE WHEN {_DIFFERS.format('schema_version')} THEN 'schema_version' END) AS differences
+FROM n a JOIN n b ON a.workspace_id = b.workspace_id AND a.k + 1 = b.k""")
 def comparability_verdict(spark, d):
     rows = table(spark, d, "language_metrics").groupBy("workspace_id", "run_id")
     versions = rows.agg(F.max("artifact_schema_version").alias("schema_version"), F.max("metric_contract_version").alias("contract_version"))
@@ -480,7 +510,7 @@ def scope_hash(spark, d):
     return K.scope_hash(rows, ["workspace_id", "run_id"], ["path", "digest"])
 
 
-_EXT = "lower(regexp_extract(relative_path, '\\.([^./]+)$', 1))"
+_EXT = "lower(regexp_extract(slashed, '\\.([^./]+)$', 1))"
 
 
 @query(f"""WITH p AS (SELECT DISTINCT relative_path FROM contributions), f AS (SELECT relative_path, string_split(lower(regexp_replace(relative_path, '/?[^/]*$', '')), '/') AS dirs, lower(regexp_extract(relative_path, '([^/]*)$', 1)) AS name FROM p)
@@ -493,11 +523,10 @@ def exclusion_precedence(spark, d):
     return table(spark, d, "contributions").select("relative_path").distinct().select("relative_path", K.exclusion_reason(F.col("relative_path")).alias("reason"))
 
 
-@query(f"""WITH p AS (SELECT DISTINCT relative_path FROM contributions WHERE relative_path NOT LIKE '%\\%')
-SELECT relative_path, CASE {' '.join(f"WHEN {_EXT} = '{e}' THEN '{x}'" for e, x in K.LANGUAGE_OF.items())} END AS language, regexp_matches(relative_path, '^(src/.*|.*/test_[^/]*|.*\\.jsx)$') AS matched,
-array_to_string(list_filter(string_split(relative_path, '/'), lambda s: s <> '' AND s <> '.'), '/') AS portable FROM p""")
+@query(f"""WITH p AS (SELECT DISTINCT relative_path, replace(relative_path, '\\', '/') AS slashed FROM contributions)
+SELECT relative_path, CASE {' '.join(f"WHEN {_EXT} = '{e}' THEN '{x}'" for e, x in K.LANGUAGE_OF.items())} END AS language, regexp_matches(slashed, '^(src/.*|.*/test_[^/]*|.*\\.jsx)$') AS matched,
+{_PORTABLE} AS portable FROM p""")
 def path_predicates(spark, d):
-    # The registered SQL still leaves out paths with a backslash.
     rows = table(spark, d, "contributions").select("relative_path").distinct()
     path = F.col("relative_path")
     slashed = F.translate(path, "\\", "/")
@@ -582,13 +611,14 @@ def policy_collapsed(spark, d):
     return P.collapse(_findings(spark, d), ["workspace_id"])
 
 
-_RAT = f"SELECT workspace_id, subject_key, detected_language, sum(lines_of_code)::DOUBLE AS value, CASE WHEN count_if(nloc_status IN ('failed', 'partial')) > 0 THEN 'partial' ELSE 'complete' END AS completeness FROM {_sql_ledger('workspace_id', 'subject_key', 'detected_language', 'run_seq', 'lines_of_code', 'nloc_status')} WHERE run_seq = {{0}} GROUP BY ALL"
-
-
-@query(f"""WITH b AS ({_RAT.format(1)}), c AS ({_RAT.format(8)})
-SELECT workspace_id, subject_key, detected_language, b.value AS baseline, c.value AS current, c.value - b.value AS delta,
-CASE WHEN b.completeness IS NULL THEN 'extra' WHEN c.completeness IS NULL THEN 'missing' WHEN c.completeness <> 'complete' THEN c.completeness WHEN c.value - b.value IS NULL THEN 'unavailable'
-WHEN c.value = b.value THEN 'unchanged' WHEN c.value < b.value THEN 'improved' WHEN c.value - b.value <= 20 THEN 'tolerated' ELSE 'regression' END AS decision FROM b FULL JOIN c USING (workspace_id, subject_key, detected_language)""")
+@query(f"""WITH {_CONTRIBUTION_RUNS}, s AS (SELECT workspace_id, subject_key, detected_language, run_id, sum(lines_of_code)::DOUBLE AS value, CASE WHEN count_if(nloc_status IN ('failed', 'partial')) > 0 THEN 'partial' ELSE 'complete' END AS completeness
+FROM {_sql_ledger('workspace_id', 'subject_key', 'detected_language', 'run_id', 'lines_of_code', 'nloc_status')} GROUP BY ALL),
+pairs AS (SELECT b.workspace_id, b.subject_key, b.run_id, a.run_id AS baseline_run_id FROM runs a JOIN runs b ON a.workspace_id = b.workspace_id AND a.subject_key = b.subject_key AND a.k < b.k AND (a.k = 1 OR a.k + 1 = b.k)),
+b AS (SELECT p.*, detected_language, value FROM pairs p JOIN s ON p.workspace_id = s.workspace_id AND p.subject_key = s.subject_key AND p.baseline_run_id = s.run_id),
+c AS (SELECT p.*, detected_language, value, completeness FROM pairs p JOIN s USING (workspace_id, subject_key, run_id))
+SELECT workspace_id, subject_key, run_id, baseline_run_id, detected_language, b.value AS baseline, c.value AS current, c.value - b.value AS delta,
+CASE WHEN b.workspace_id IS NULL THEN 'extra' WHEN c.workspace_id IS NULL THEN 'missing' WHEN c.completeness <> 'complete' THEN c.completeness WHEN c.value - b.value IS NULL THEN 'unavailable'
+WHEN c.value = b.value THEN 'unchanged' WHEN c.value < b.value THEN 'improved' WHEN c.value - b.value <= 20 THEN 'tolerated' ELSE 'regression' END AS decision FROM b FULL JOIN c USING (workspace_id, subject_key, run_id, baseline_run_id, detected_language)""")
 def ratchet_compare(spark, d):
     keys = ["workspace_id", "subject_key", "detected_language"]
 
