@@ -12,7 +12,7 @@ Defined results
 * A quote that never closes takes the rest of its cell.
 * Inside quotes a backslash escapes the next character and a doubled quote stands for one quote.
 * An escape nobody defines (``\\q``) keeps both characters.
-* Repeated rows of one cell come out once; other columns of the input are ignored.
+* Repeated rows of one cell come out once; other columns of the input are ignored.  Ids are expected to name one cell each.
 """
 
 from __future__ import annotations
@@ -177,8 +177,7 @@ def split_cells(cells: pa.Array) -> pa.ListArray:
 def split_packed(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFrame:
     """One row per value: ``(<id_col>, field, pos, val)``; ``fields`` maps a column to the name it gets in ``field``.
 
-    Narrow until the last step: cells are split where they are read; the only shuffle removes the rows of
-    redelivered cells and carries finished values.
+    The only shuffle removes redelivered cells and carries them packed, which is the smaller form; splitting is narrow.
     """
     columns = list(fields)
     kind = dict(df.select(id_col).dtypes)[id_col]
@@ -198,4 +197,4 @@ def split_packed(df: DataFrame, id_col: str, fields: dict[str, str]) -> DataFram
                     names=[id_col, "field", "pos", "val"],
                 )
 
-    return df.select(id_col, *columns).mapInArrow(scan, f"{id_col} {kind}, field string, pos int, val string").distinct()
+    return df.select(id_col, *columns).distinct().mapInArrow(scan, f"{id_col} {kind}, field string, pos int, val string")

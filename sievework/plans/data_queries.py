@@ -44,6 +44,21 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return changes.select(F.col("run").alias("run_id"), "subject_key", F.col("path").alias("relative_path"), "change_kind")
 
 
+# A token is a word, or a quoted element with the word before it; a letter that touches the quote belongs to the notation.
+_P1_TOKEN = r"""([A-Za-z0-9_./-]*?)[A-Za-z]?("(?:[^"\\]|\\.|"")*"?|'(?:[^'\\]|\\.|'')*'?)|[A-Za-z0-9_./-]+""".replace("'", "''")
+_P1 = rf"""
+WITH cells AS (SELECT DISTINCT cell_id, raw, column_name FROM legacy_cell_recovery),
+texts AS (SELECT cell_id, 'raw' AS field, raw AS cell FROM cells UNION ALL SELECT cell_id, 'column_name', column_name FROM cells),
+tokens AS (SELECT cell_id, field, regexp_extract_all(cell, '(?s){_P1_TOKEN}') AS ts FROM texts WHERE cell IS NOT NULL),
+parts AS (SELECT cell_id, field, flatten(list_transform(ts, lambda t: CASE WHEN regexp_matches(t, '["'']')
+  THEN [regexp_extract(t, '(?s)^{_P1_TOKEN}', 1), regexp_extract(t, '(?s)^{_P1_TOKEN}', 2)] ELSE [t] END)) AS ps FROM tokens),
+bodies AS (SELECT cell_id, field, list_filter(list_transform(ps, lambda p: CASE WHEN left(p, 1) IN ('"', '''') THEN array_to_string(list_transform(
+  regexp_extract_all(CASE WHEN length(p) > 1 AND right(p, 1) = left(p, 1) THEN p[2:-2] ELSE p[2:] END, '(?s)\\u[0-9a-fA-F]{{4}}|\\x[0-9a-fA-F]{{2}}|\\.|""|''''|.'), lambda e: CASE
+    WHEN left(e, 2) IN ('\u', '\x') AND length(e) > 2 THEN chr(('0x' || e[3:])::INT) WHEN e = '\n' THEN chr(10) WHEN e = '\t' THEN chr(9) WHEN e = '\r' THEN chr(13) WHEN e = '\b' THEN chr(8) WHEN e = '\f' THEN chr(12)
+    WHEN e IN ('\\', '\"', '\''', '\/') THEN e[2:] WHEN e = p[1:1] || p[1:1] THEN p[1:1] ELSE e END), '') ELSE p END), lambda v: v <> '') AS vs FROM parts)
+SELECT cell_id, field, (unnest(generate_series(1, len(vs))) - 1)::INT AS pos, unnest(vs) AS val FROM bodies
+"""
+
 _P2 = """
 WITH refs AS (
   SELECT DISTINCT contribution_id, field, lower(trim(key)) AS key, recorded_at AS t FROM (
@@ -91,6 +106,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
         "p2_found": _P2 + "SELECT contribution_id, field, reason FROM found",
         "p2_report": _P2
         + """SELECT CASE field WHEN 'error_reference' THEN 'errors' ELSE 'recoveries' END AS table_name,
