@@ -1,6 +1,7 @@
 """Evaluation texts inside a training corpus: rare n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the corpus are hashed where the texts are read; only those that some item has leave the scan.
+Word n-grams of the corpus are hashed where the texts are read; a filter of fixed size keeps all but those that some
+item may have from leaving the scan, and the few texts that pass travel with their n-grams, so the corpus is read once.
 Their document frequencies over the whole corpus choose the seeds: of the n-grams inside each ``window`` of item
 words the rarest one.  A passage of ``window`` or more words in a row holds all n-grams of its windows, hence each
 window's seed, and a window one of whose n-grams no document has can't have leaked; so no passage is lost.
@@ -29,9 +30,8 @@ from sievework.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Up to so many distinct item n-grams (8 bytes each) are shipped to the scan, up to so many pairs (32 bytes) to the text join.
-SHIPPED_GRAMS = 1_000_000
-SHIPPED_PAIRS = 500_000
+#: Bits of the filter that item n-grams are shipped to the scan in (4 MB); what it lets pass is joined exactly.
+FILTER_BITS = 1 << 25
 
 
 def words_of(text: str | None) -> list[str]:
@@ -71,8 +71,8 @@ def gram_hashes(texts: list[str | None], n: int, known: dict[str, int]) -> tuple
     return text[at], at - offsets[text[at]], h[at].view(np.int64)
 
 
-def grams(df: DataFrame, id_col: str, text_col: str, n: int, only: np.ndarray | None = None) -> DataFrame:
-    """``(id, pos, h)`` of the texts' n-grams; ``only`` is a sorted array of hashes to keep."""
+def grams(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """``(id, pos, h)`` of the texts' n-grams."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -80,10 +80,6 @@ def grams(df: DataFrame, id_col: str, text_col: str, n: int, only: np.ndarray |
             texts = batch.column(1).to_pylist()
             for low in range(0, len(texts), 500):
                 text, pos, h = gram_hashes(texts[low : low + 500], n, known)
-                if only is not None:
-                    k = np.minimum(np.searchsorted(only, h), max(len(only) - 1, 0))
-                    keep = (only[k] == h) if len(only) else np.zeros(len(h), bool)
-                    text, pos, h = text[keep], pos[keep], h[keep]
                 if len(h):
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + low)), pa.array(pos.astype(np.int32)), pa.array(h)], names=["id", "pos", "h"])
 
@@ -91,6 +87,46 @@ def grams(df: DataFrame, id_col: str, text_col: str, n: int, only: np.ndarray |
     return df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(scan, f"id {kind}, pos int, h long")
 
 
+def _probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return h & (FILTER_BITS - 1), (h >> 32) & (FILTER_BITS - 1)
+
+
+def gram_filter(wanted: DataFrame) -> np.ndarray:
+    """Bloom filter of ``h`` with two probes, as 64-bit words; of fixed size however many grams there are."""
+    probe = F.explode(F.array(F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftright("h", 32).bitwiseAND(F.lit(FILTER_BITS - 1)))).alias("at")
+    bits = wanted.select(probe).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits"))
+    rows = bits.toArrow()  # at most FILTER_BITS / 64 rows
+    words = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    words[np.asarray(rows["word"])] = np.asarray(rows["bits"])
+    return words
+
+
+def _maybe(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    a, b = _probes(h)
+    return ((words[a >> 6] >> (a & 63)) & (words[b >> 6] >> (b & 63)) & 1).astype(bool)
+
+
+def candidates(df: DataFrame, id_col: str, text_col: str, n: int, words: np.ndarray) -> DataFrame:
+    """``(id, text, pos, h)``: texts with an n-gram that the filter lets pass, and those n-grams."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for low in range(0, len(texts), 500):
+                text, pos, h = gram_hashes(texts[low : low + 500], n, known)
+                keep = _maybe(words, h)
+                text, pos, h = text[keep], pos[keep], h[keep]
+                if len(h):
+                    rows, counts = np.unique(text, return_counts=True)
+                    offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+                    at = pa.array(rows + low)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.ListArray.from_arrays(offsets, pa.array(pos.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(h))], names=["id", "text", "pos", "h"])
+
+    kind = dict(df.dtypes)[id_col]
+    return df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(scan, f"id {kind}, text string, pos array<int>, h array<long>")
+
+
 def align(document: list[str], item: list[str], *, match: int = 2, mismatch: int = -3, gap: int = -2) -> tuple[int, int, int, int]:
     """Smith-Waterman over words: (best score, longest run without a gap, begin and end of that run in the document)."""
     number = {w: i for i, w in enumerate(dict.fromkeys(item))}
@@ -124,21 +160,16 @@ def leaked(docs: DataFrame, items: DataFrame, *, doc_id: str, item_id: str, doc_
         raise ValueError("a window holds at least one n-gram")
     own = cut(grams(items, item_id, item_text, n).distinct())
     wanted = own.select("h").distinct()
-    if wanted.count() <= SHIPPED_GRAMS:
-        only = np.sort(np.array([r[0] for r in wanted.collect()], dtype=np.int64))
-        hits = grams(docs, doc_id, doc_text, n, only)
-    else:
-        hits = grams(docs, doc_id, doc_text, n).join(wanted, "h", "left_semi")
-    hits = cut(hits.distinct())
+    found = cut(candidates(docs, doc_id, doc_text, n, gram_filter(wanted)))
+    hits = found.select("id", F.explode(F.arrays_zip("pos", "h")).alias("x")).select("id", "x.pos", "x.h").join(wanted, "h", "left_semi").distinct()
     frequency = hits.groupBy("h").agg(F.count("*").alias("df"))
     ahead = Window.partitionBy("id").orderBy("pos").rangeBetween(0, window - n)
     rated = own.join(frequency, "h")
     rated = rated.withColumn("inside", F.count("*").over(ahead)).withColumn("seed", F.min(F.struct("df", "h")).over(ahead))
     seeds = rated.where(F.col("inside") == window - n + 1).select(F.col("id").alias("item"), F.col("seed.h").alias("h")).distinct()
     pairs = hits.join(seeds, "h").groupBy("id", "item").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
-    pairs = cut(pairs.select(F.col("id").alias("p_doc"), F.col("item").alias("p_item"), "low", "high"))
-    near = F.broadcast(pairs) if pairs.count() <= SHIPPED_PAIRS else pairs
-    texts = docs.select(F.col(doc_id), F.col(doc_text).alias("d_text")).join(near, F.col(doc_id) == F.col("p_doc"))
+    pairs = pairs.select(F.col("id").alias("p_doc"), F.col("item").alias("p_item"), "low", "high")
+    texts = found.select(F.col("id").alias(doc_id), F.col("text").alias("d_text")).join(pairs, F.col(doc_id) == F.col("p_doc"))
     texts = texts.join(items.select(F.col(item_id), F.col(item_text).alias("i_text")), F.col(item_id) == F.col("p_item"))
     kinds = {**dict(docs.dtypes), **dict(items.dtypes)}
 
