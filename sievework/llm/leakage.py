@@ -150,11 +150,11 @@ def align(document: list[str], item: list[str], *, match: int = 2, mismatch: int
     return best, longest, at - longest, at
 
 
-def leaked(docs: DataFrame, items: DataFrame, *, doc_id: str, item_id: str, doc_text: str, item_text: str, n: int = 8, window: int = 13) -> DataFrame:
+def leaked(docs: DataFrame, items: DataFrame, *, doc_id: str, item_id: str, doc_text: str, item_text: str, n: int = 8, window: int = 13, shared: int = 1) -> DataFrame:
     """Aligned candidates: ``(doc_id, item_id, score, coverage, longest_run, run_start)``.
 
     ``coverage`` is the score as a share of a whole copy's score; ``run_start`` counts words of the document.
-    With ``window`` = ``n`` every shared n-gram is a seed.
+    With ``window`` = ``n`` every shared n-gram is a seed; ``shared`` is how many of them a pair must have to be aligned.
     """
     if window < n:
         raise ValueError("a window holds at least one n-gram")
@@ -167,7 +167,7 @@ def leaked(docs: DataFrame, items: DataFrame, *, doc_id: str, item_id: str, doc_
     rated = own.join(frequency, "h")
     rated = rated.withColumn("inside", F.count("*").over(ahead)).withColumn("seed", F.min(F.struct("df", "h")).over(ahead))
     seeds = rated.where(F.col("inside") == window - n + 1).select(F.col("id").alias("item"), F.col("seed.h").alias("h")).distinct()
-    pairs = hits.join(seeds, "h").groupBy("id", "item").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    pairs = hits.join(seeds, "h").groupBy("id", "item").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("n")).where(F.col("n") >= shared)
     pairs = pairs.select(F.col("id").alias("p_doc"), F.col("item").alias("p_item"), "low", "high")
     texts = found.select(F.col("id").alias(doc_id), F.col("text").alias("d_text")).join(pairs, F.col(doc_id) == F.col("p_doc"))
     texts = texts.join(items.select(F.col(item_id), F.col(item_text).alias("i_text")), F.col(item_id) == F.col("p_item"))

@@ -65,8 +65,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Edited and partial copies too: every pair that shares eight words in a row, with its alignment score."""
-    pairs = _leaks(spark, d, window=8)
+    """Edited and partial copies too: pairs that share three runs of five words and whose best alignment reaches 0.3 of a whole copy's score."""
+    pairs = _leaks(spark, d, n=5, window=5, shared=3).where(F.col("coverage") >= 0.3)
     return pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.round(F.max("coverage"), 6).alias("coverage"), F.max("longest_run").alias("longest_run"))
 
 

@@ -61,6 +61,32 @@ def test_leaks_against_brute_force(spark):
     assert leakage.leaked(df, it.where("false"), doc_id="doc_id", item_id="item_id", doc_text="text", item_text="text").count() == 0
 
 
+def test_recall_of_edited_copies(spark):
+    """Copies with every tenth word changed, dropped or added, and cut to a half: at least nine in ten are scored, no stranger is."""
+    random.seed(3)
+    vocabulary = [f"{w}{i}" for w in WORDS for i in range(20)]
+    items = [[random.choice(vocabulary) for _ in range(45)] for _ in range(20)]
+    docs, truth = [], set()
+    for k in range(400):
+        filler = [random.choice(vocabulary) for _ in range(80)]
+        if k % 2:
+            j = random.randrange(len(items))
+            begin = random.choice([0, 22]) if k % 4 == 1 else 0
+            copy = []
+            for w in items[j][begin : begin + 23 if k % 4 == 1 else 45]:
+                edit = random.random()
+                copy += [] if edit < 0.03 else [random.choice(vocabulary)] if edit < 0.07 else [w, random.choice(vocabulary)] if edit < 0.1 else [w]
+            filler[40:40] = copy
+            truth.add((k, j))
+        docs.append((k, " ".join(filler)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    out = leakage.leaked(df, it, doc_id="doc_id", item_id="item_id", doc_text="text", item_text="text", n=5, window=5, shared=3).where("coverage >= 0.3").collect()
+    found = {(r.doc_id, r.item_id) for r in out}
+    assert len(found & truth) >= 0.9 * len(truth) and len(found - truth) <= 0.01 * len(found)
+    print("recall", len(found & truth) / len(truth))
+
+
 def test_alignment():
     item = WORDS
     assert leakage.align(item, item)[:2] == (2 * len(item), len(item))
