@@ -7,13 +7,15 @@ Texts repeat their words far more than themselves, so clean near-twins are found
    near-twins; each is held against the most frequent one of its group only, so a group of any size gives one
    pair a member.  The twins' ASCII letters anchor an alignment of the characters between them.
 2. An aligned pair of runs is explained by a transformation (written in one encoding, read in another) of the
-   table of encodings.  Transformations and run mappings with enough distinct pairs are learned.
-3. Learned transformations are undone on all other tokens.  An undone token counts if it is attested: it stands
-   in the corpus, several times as often as the garbled form.  Text in scripts without ASCII letters has no
-   twin of this kind, since nothing is left when it is stripped; there every transformation of the table is
-   tried and attestation alone decides.
-4. Two things need no attestation: bytes that read as well-formed UTF-8 at two places or more, or twice over
-   (chance doesn't produce them), and traces no writing produces (replacement characters, C1 controls, NULs).
+   table of encodings.  Transformations with enough distinct pairs are learned; runs that no transformation explains
+   are learned as run mappings and applied to other tokens by a join on the run.
+3. Transformations are undone on all other tokens.  One well-formed UTF-8 sequence is enough under a reading that
+   twins taught.  Else an undone token counts if it is attested: it stands in the corpus, several times as often as
+   the garbled form.  Pairs written in a Latin single-byte encoding are tried only if taught.  Text in scripts
+   without ASCII letters has no twin of this kind, since nothing is left when it is stripped; there the other
+   transformations of the table are tried too, and ``source`` tells documents found so apart.
+4. Two things need no attestation and no twin: bytes that read as well-formed UTF-8 at two places or more, or twice
+   over (chance doesn't produce them), and traces no writing produces (replacement characters, C1 controls, NULs).
 
 Distinct tokens are few against the corpus and each is judged once; documents get the verdicts by a join.
 
@@ -53,6 +55,7 @@ _BLANK = re.compile(r"[ \t\r\n]+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"[0-9]+")
 _SPLIT = re.compile(r"([\x00-\x7f]+)")
+_LETTERS = re.compile(r"[A-Za-z]")
 
 
 def normal(token: str) -> str:
@@ -205,7 +208,7 @@ def tokens(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, its clean twin) -> explained runs (garbled, clean, written, read)."""
+    """(token, its clean twin) -> runs (garbled, clean, written, read); without encodings where the table explains nothing and nobody writes so."""
     for batch in batches:
         rows: list[tuple] = []
         for token, twin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -215,13 +218,14 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for a, b in zip(mine[::2], theirs[::2]):
                 if a and b and a != b:
-                    rows += [(a, b, w, r) for w, r in hypotheses() if undo(a, w, r) == b]
+                    ways = [(a, b, w, r) for w, r in hypotheses() if undo(a, w, r) == b]
+                    rows += ways or ([] if _natural(a) else [(a, b, None, None)])
         columns = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["run", "clean", "written", "read"])
 
 
 def learn(vocabulary: DataFrame) -> DataFrame:
-    """Transformations learned from twins: ``(written, read, run, clean, pairs)``."""
+    """What twins teach: ``(written, read, run, clean, pairs)``; run mappings outside the table have no encodings."""
     skeleton = F.regexp_replace("token", r"[^\x00-\x7f]+", "")
     known = vocabulary.select("token", "df", skeleton.alias("skeleton")).where(F.regexp_replace("skeleton", "[^A-Za-z]", "") != "").where(F.length("skeleton") >= 3)
     best = known.groupBy("skeleton").agg(F.max(F.struct("df", "token")).alias("best"))
@@ -230,57 +234,107 @@ def learn(vocabulary: DataFrame) -> DataFrame:
     return voted.groupBy("written", "read", "run", "clean").agg(F.count("*").alias("pairs"))
 
 
-def judge(vocabulary: DataFrame) -> DataFrame:
-    """Garbled tokens: ``(token, written, read, times, sure)``; ``sure`` is false where a token proves nothing by itself."""
-    learned = learn(vocabulary)
-    # The table of encodings is fixed, so what is learned about it is of fixed size: at most its square.
-    trusted = [tuple(r) for r in learned.groupBy("written", "read").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAIRS).select("written", "read").collect()]
-    latin = frozenset(p for p in trusted if p[0] in LATIN)
-    open_ = frozenset(p for p in hypotheses() if p[0] not in LATIN)
-    tried = tuple(p for p in hypotheses() if p in latin or p in open_)
+def _one_sequence(token: str, reads: tuple[str, ...]) -> str | None:
+    """The reading under which a token with ASCII letters holds well-formed UTF-8, were it a single sequence; reads are taught by twins."""
+    if not _LETTERS.search(token):
+        return None
+    for read in reads:
+        was = undo(token, "utf-8", read)
+        if was is not None and was != token and not was.isascii() and _natural(was):
+            return read
+    return None
+
+
+def _tries(vocabulary: DataFrame, trusted: frozenset[tuple[str, str]]) -> DataFrame:
+    """Ways to undo each token: ``(token, df, written, read, times, unit, was)``; no ``unit`` where nothing else has to attest it."""
+    taught = tuple(r for w, r in hypotheses() if w == "utf-8" and r in LATIN and (w, r) in trusted)
+    by_read: dict[str, list[str]] = {}
+    for written, read in hypotheses():
+        if written not in LATIN or (written, read) in trusted:
+            by_read.setdefault(read, []).append(written)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {read: frozenset(map(chr, _single(read)[0])) for read in by_read if read in LATIN or read in OTHER}
         for batch in batches:
             rows: list[tuple] = []
             for token, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 evident = self_evident(token)
+                if evident is None and (read := _one_sequence(token, taught)):
+                    evident = "utf-8", read, 1
                 if evident:
                     rows.append((token, df, *evident, None, None))
                     continue
-                for written, read in tried:
-                    was = undo(token, written, read)
-                    if was is not None and was != token and not was.isascii():
-                        rows += [(token, df, written, read, 1, unit, was) for unit in _units(was)]
+                signs = {c for c in token if c > "\x7f"}
+                for read, written_in in by_read.items():
+                    if read in known and not signs <= known[read]:
+                        continue  # no text read in this encoding has these characters
+                    for written in written_in:
+                        was = undo(token, written, read)
+                        if was is not None and was != token and not was.isascii():
+                            rows += [(token, df, written, read, 1, unit, was) for unit in _units(was)]
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["token", "df", "written", "read", "times", "unit", "was"])
 
-    tries = cut(vocabulary.select("token", "df").mapInArrow(scan, "token string, df long, written string, read string, times int, unit string, was string"))
-    evident = tries.where(F.col("unit").isNull()).select("token", "written", "read", "times", F.lit(True).alias("sure"))
+    return vocabulary.select("token", "df").mapInArrow(scan, "token string, df long, written string, read string, times int, unit string, was string")
+
+
+def _by_runs(vocabulary: DataFrame, learned: DataFrame, units: DataFrame) -> DataFrame:
+    """Tokens undone by run mappings outside the table, joined on the run: ``(token, runs)``, where the result is attested."""
+    outside = learned.where(F.col("written").isNull()).groupBy("run").agg(F.max_by("clean", F.struct("pairs", "clean")).alias("clean"), F.max("pairs").alias("most"), F.sum("pairs").alias("all"))
+    outside = outside.where((F.col("most") >= LEAST_PAIRS) & (F.col("most") * 5 >= F.col("all") * 4)).select("run", "clean")
+    held = vocabulary.select("token", "df", F.explode(F.array_distinct(F.regexp_extract_all("token", F.lit(r"[^\x00-\x7f]+"), F.lit(0)))).alias("run"))
+    found = held.join(outside, "run").groupBy("token", "df").agg(F.map_from_entries(F.collect_set(F.struct("run", "clean"))).alias("runs"))
+    was = F.aggregate(F.map_entries("runs"), F.col("token"), lambda text, e: F.replace(text, e["key"], e["value"]))
+    both = found.withColumn("unit", was).join(units, "unit")
+    return both.where((F.col("times_seen") >= LEAST_PAIRS) & (F.col("times_seen") >= TIMES * F.col("df"))).select("token", "runs")
+
+
+def judge(vocabulary: DataFrame) -> DataFrame:
+    """Garbled tokens: ``(token, written, read, times, runs, sure, taught)``.
+
+    ``sure`` is false where a token proves nothing by itself; ``taught`` tells whether twins taught the transformation.
+    """
+    learned = cut(learn(vocabulary))
+    # The table of encodings is fixed, so what is learned about it is of fixed size: at most its square.
+    named = learned.where(F.col("written").isNotNull()).groupBy("written", "read").agg(F.count("*").alias("n"))
+    trusted = frozenset(tuple(r) for r in named.where(F.col("n") >= LEAST_PAIRS).select("written", "read").collect())
+    tries = cut(_tries(vocabulary, trusted))
     runs = vocabulary.select(F.explode(F.filter(F.regexp_extract_all("token", F.lit(r"[^\x00-\x7f]+"), F.lit(0)), lambda r: F.length(r) > 2)).alias("unit"), "df")
     units = vocabulary.select(F.col("token").alias("unit"), "df").unionByName(runs).groupBy("unit").agg(F.max("df").alias("times_seen"))
+    none = F.lit(None).cast("map<string,string>")
+    evident = tries.where(F.col("unit").isNull()).select("token", "written", "read", "times", none.alias("runs"), F.lit(True).alias("sure"))
     attested = tries.where(F.col("unit").isNotNull()).join(units, "unit").where((F.col("times_seen") >= LEAST_PAIRS) & (F.col("times_seen") >= TIMES * F.col("df")))
     # A lone sign read in another single-byte encoding is often another lone sign: such a token is weak evidence.
     letters = F.length(F.regexp_replace("was", r"[^\p{L}]", ""))
     common = F.col("token").rlike("[A-Za-z]") & (F.col("times_seen") >= 50 * F.col("df"))
     weak = (F.col("written") != "utf-8") & ~common & ((letters < 2) | (F.length(F.regexp_replace("was", r"[^\p{L}\p{M}]", "")) < 3))
     top = attested.groupBy("token").agg(F.max_by(F.struct("written", "read", "times", weak.alias("weak")), F.struct((~weak), "times_seen", "written", "read")).alias("best"))
-    return evident.unionByName(top.select("token", "best.written", "best.read", "best.times", (~F.col("best.weak")).alias("sure")))
+    best = top.select("token", "best.written", "best.read", "best.times", none.alias("runs"), (~F.col("best.weak")).alias("sure"))
+    outside = _by_runs(vocabulary, learned, units).select("token", F.lit("").alias("written"), F.lit("").alias("read"), F.lit(1).alias("times"), "runs", F.lit(True).alias("sure"))
+    taught = F.concat_ws("/", "written", "read").isin("/", *["/".join(t) for t in sorted(trusted)])
+    return evident.unionByName(best).unionByName(outside.join(evident.select("token"), "token", "left_anti").join(best.select("token"), "token", "left_anti")).withColumn("taught", taught)
 
 
 def garbled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a garbled document: ``(id, fixes, traces)``; ``fixes`` maps tokens to how they are undone."""
+    """One row a garbled document: ``(id, fixes, traces, source)``; ``fixes`` maps tokens to how they are undone.
+
+    ``source`` is ``twins`` if a transformation or run mapping taught by near-twins undoes a token of the document, ``table``
+    if only transformations of the table do that no twin taught, ``traces`` if nothing but traces shows the damage.
+    """
     held = cut(tokens(df, id_col, text_col))
     # Judging a token costs far more than moving it: the distinct tokens are spread evenly, whatever their bytes.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vocabulary = cut(held.groupBy("token").agg(F.count("*").alias("df")).repartition(parts, "token"))
     verdicts = judge(vocabulary)
-    kinds = held.join(verdicts, "token").groupBy("id", "written", "read").agg(F.collect_set(F.struct("token", "written", "read", "times")).alias("fixes"), F.bool_or("sure").alias("sure"))
+    fixes = F.collect_list(F.struct("token", "written", "read", "times", "runs"))
+    kinds = held.join(verdicts, "token").groupBy("id", "written", "read").agg(fixes.alias("fixes"), F.bool_or("sure").alias("sure"), F.bool_or("taught").alias("taught"))
     # Weak tokens count only beside a sure one of the same transformation.
-    found = kinds.where("sure").groupBy("id").agg(F.flatten(F.collect_list("fixes")).alias("fixes"))
+    found = kinds.where("sure").groupBy("id").agg(F.flatten(F.collect_list("fixes")).alias("fixes"), F.bool_or("taught").alias("taught"))
     marked = df.where(F.col(text_col).rlike(TRACES)).select(F.col(id_col).alias("id"), F.lit(True).alias("traces")).distinct()
     both = found.join(marked, "id", "full")
-    return both.select("id", "fixes", F.coalesce("traces", F.lit(False)).alias("traces"))
+    source = F.when(F.col("taught"), "twins").when(F.col("taught").isNotNull(), "table").otherwise("traces")
+    return both.select("id", "fixes", F.coalesce("traces", F.lit(False)).alias("traces"), source.alias("source"))
 
 
 _HELD = re.compile(r"([ \t\r\n]+)")
@@ -297,18 +351,21 @@ def _undone(token: str, how: tuple[str, str, int]) -> str | None:
     return None
 
 
-def _mend(text: str, fixes: dict[str, tuple[str, str, int]]) -> tuple[str, bool]:
+def _mend(text: str, fixes: dict[str, tuple]) -> tuple[str, bool]:
     """The text undone, and whether a token is left that a sure transformation would change.
 
     Well-formed UTF-8 doesn't come by chance, so the document's other tokens are undone too.  Nearly any sign fits another
     single-byte encoding, and a text may be garbled in places only: there a token that wasn't judged stays and is told.
     """
     parts, left = _HELD.split(text), False
-    sure = sorted({how for how in fixes.values() if how[1] not in UTF16}, key=lambda how: (how[0] != "utf-8", how))
+    sure = sorted({how[:3] for how in fixes.values() if how[0] and how[1] not in UTF16}, key=lambda how: (how[0] != "utf-8", how))
     for i in range(0, len(parts), 2):
         if parts[i].isascii():
             continue
         how = fixes.get(normal(parts[i]))
+        if how and how[0] == "":
+            parts[i] = _RUN.sub(lambda m, runs=how[3]: runs.get(m.group(), m.group()), parts[i])
+            continue
         if how:
             was: str | None = parts[i]
             for _ in range(how[2]):
@@ -325,7 +382,7 @@ def _mend(text: str, fixes: dict[str, tuple[str, str, int]]) -> tuple[str, bool]
 
 
 def restore(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id_col, restored, complete)`` of the garbled documents."""
+    """``(id_col, restored, complete, source)`` of the garbled documents."""
     kind = dict(df.dtypes)[id_col]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,12 +390,13 @@ def restore(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Data
         for batch in batches:
             out, whole = [], []
             for text, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                text, left = _mend(text, {f["token"]: (f["written"], f["read"], f["times"]) for f in fixes or []})
+                text, left = _mend(text, {f["token"]: (f["written"], f["read"], f["times"], dict(f["runs"] or [])) for f in fixes or []})
                 if "\x00" in text:  # every other byte of UTF-16 read as a character
                     text = re.sub(r"(?:[^\x00]\x00){4,}", lambda m: m.group(0).replace("\x00", ""), text)
                 out.append(text)
                 whole.append(not left and not trace.search(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(whole, pa.bool_())], names=[id_col, "restored", "complete"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(whole, pa.bool_()), batch.column(3)], names=[id_col, "restored", "complete", "source"])
 
-    joined = df.join(found.select(F.col("id").alias("f_id"), "fixes"), F.col(id_col) == F.col("f_id")).select(id_col, text_col, "fixes").where(F.col(text_col).isNotNull())
-    return joined.mapInArrow(scan, f"{id_col} {kind}, restored string, complete boolean")
+    how = found.select(F.col("id").alias("_f_id"), F.col("fixes").alias("_f_fixes"), F.col("source").alias("_f_source"))
+    joined = df.select(id_col, text_col).join(how, F.col(id_col) == F.col("_f_id")).select(id_col, text_col, "_f_fixes", "_f_source").where(F.col(text_col).isNotNull())
+    return joined.mapInArrow(scan, f"{id_col} {kind}, restored string, complete boolean, source string")
