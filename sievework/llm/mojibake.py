@@ -56,6 +56,7 @@ _RUN = re.compile(r"[^\x00-\x7f]+")
 _DIGITS = re.compile(r"[0-9]+")
 _SPLIT = re.compile(r"([\x00-\x7f]+)")
 _LETTERS = re.compile(r"[A-Za-z]")
+_NEVER = re.compile("[\x80-\x9f\ufffd\ue000-\uf8ff]")  # no clean token has these
 
 
 def normal(token: str) -> str:
@@ -167,17 +168,35 @@ def _badness(text: str) -> int:
     return len(re.findall(r"[a-z][A-Z]|[.,;:][A-Za-z]| [.,;:]", text))
 
 
-def self_evident(token: str) -> tuple[str, str, int] | None:
+@cache
+def _readable(read: str) -> tuple[frozenset[str], frozenset[str]]:
+    """Characters beyond ASCII that a text read in this single-byte encoding can hold, and those that a UTF-8 sequence begins with."""
+    to_byte, _ = _single(read)
+    return frozenset(map(chr, to_byte)), frozenset(chr(c) for c, b in to_byte.items() if 0xC2 <= b <= 0xF4)
+
+
+def _from_utf8(token: str, signs: list[str], read: str) -> str | None:
+    """``undo(token, "utf-8", read)``; ``signs`` are its characters beyond ASCII, which rule out most readings at once."""
+    if read not in WIDE:
+        known, leads = _readable(read)
+        if signs[0] not in leads or not known.issuperset(signs):
+            return None
+    return undo(token, "utf-8", read)
+
+
+def self_evident(token: str, signs: list[str] | None = None) -> tuple[str, str, int] | None:
     """(written, read, times) if undoing needs no attestation."""
-    for read in (*LATIN, *OTHER, *WIDE):
-        once = undo(token, "utf-8", read)
-        if once is None or once == token:
-            continue
-        again = undo(once, "utf-8", read) if not once.isascii() else None
-        if again is not None and again != once and not any("\x80" <= c < "\xa0" for c in again):
-            return "utf-8", read, 2
-        if sum(c > "\x7f" for c in once) >= 2 and _natural(once):
-            return "utf-8", read, 1
+    signs = [c for c in token if c > "\x7f"] if signs is None else signs
+    if signs:
+        for read in (*LATIN, *OTHER, *WIDE):
+            once = _from_utf8(token, signs, read)
+            if once is None or once == token:
+                continue
+            again = undo(once, "utf-8", read) if not once.isascii() else None
+            if again is not None and again != once and not any("\x80" <= c < "\xa0" for c in again):
+                return "utf-8", read, 2
+            if sum(c > "\x7f" for c in once) >= 2 and _natural(once):
+                return "utf-8", read, 1
     if len(token) >= 3:
         ways = [(_badness(once), read) for read in UTF16 if (once := undo(token, "utf-8", read)) is not None and _plausible(once)]
         if ways:
@@ -234,12 +253,12 @@ def learn(vocabulary: DataFrame) -> DataFrame:
     return voted.groupBy("written", "read", "run", "clean").agg(F.count("*").alias("pairs"))
 
 
-def _one_sequence(token: str, reads: tuple[str, ...]) -> str | None:
+def _one_sequence(token: str, signs: list[str], reads: tuple[str, ...]) -> str | None:
     """The reading under which a token with ASCII letters holds well-formed UTF-8, were it a single sequence; reads are taught by twins."""
     if not _LETTERS.search(token):
         return None
     for read in reads:
-        was = undo(token, "utf-8", read)
+        was = _from_utf8(token, signs, read)
         if was is not None and was != token and not was.isascii() and _natural(was):
             return read
     return None
@@ -254,23 +273,23 @@ def _tries(vocabulary: DataFrame, trusted: frozenset[tuple[str, str]]) -> DataFr
             by_read.setdefault(read, []).append(written)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {read: frozenset(map(chr, _single(read)[0])) for read in by_read if read in LATIN or read in OTHER}
+        known = {read: _readable(read)[0] for read in by_read if read in LATIN or read in OTHER}
         for batch in batches:
             rows: list[tuple] = []
             for token, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                evident = self_evident(token)
-                if evident is None and (read := _one_sequence(token, taught)):
+                signs = [c for c in token if c > "\x7f"]
+                evident = self_evident(token, signs)
+                if evident is None and (read := _one_sequence(token, signs, taught)):
                     evident = "utf-8", read, 1
                 if evident:
                     rows.append((token, df, *evident, None, None))
                     continue
-                signs = {c for c in token if c > "\x7f"}
                 for read, written_in in by_read.items():
-                    if read in known and not signs <= known[read]:
+                    if read in known and not known[read].issuperset(signs):
                         continue  # no text read in this encoding has these characters
                     for written in written_in:
-                        was = undo(token, written, read)
-                        if was is not None and was != token and not was.isascii():
+                        was = _from_utf8(token, signs, read) if written == "utf-8" and read not in UTF16 else undo(token, written, read)
+                        if was is not None and was != token and not was.isascii() and not _NEVER.search(was):
                             rows += [(token, df, written, read, 1, unit, was) for unit in _units(was)]
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
