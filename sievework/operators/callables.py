@@ -1,208 +1,284 @@
-"""Callables of Python source: one row a function, with its structural and cognitive measures.
-
-Other languages have no syntax tree here; their rows come out with status ``failed`` and NULLs, never zero.
+"""Facts of source files: lines by class, entities, and one row a callable with its structural and cognitive measures.
+
+Python comes from its own syntax tree, Java, JavaScript, TypeScript and Go from ``braced``.  Comments are masked the way
+the language defines them, so a sign in a string is no comment, and a callable's code lines are counted on the same
+masked text as the file's.  Callables are module functions and methods of named owners; constructors, signatures,
+nested and anonymous functions are entities but no rows, and count for nothing around them.
+
+Defined results
+---------------
+* A null text gives no row.  A file that can't be read as its language has status ``failed`` and NULLs, never zero;
+  an empty file is ``complete`` with zeros.  A language without a reader gives ``not_applicable``.
+* Rows repeated as a whole come out once; of callables of one identity each gets its place in the file as an ordinal.
 """
 
 from __future__ import annotations
 
 import ast
+import io
+import tokenize as python_tokens
 import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from sievework.functions.text import digest
+from sievework.operators import braced
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_BOUNDARY = (*_FUNCTIONS, ast.Lambda, ast.ClassDef)
 _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
-FIELDS = ("start_line", "end_line", "nloc", "parameters", "cyclomatic", "max_nesting", "cognitive")
-
-
-def _own(node: ast.AST) -> Iterator[ast.AST]:
-    """Descendants without those of nested callables and classes."""
-    for child in ast.iter_child_nodes(node):
-        if isinstance(child, (*_FUNCTIONS, ast.Lambda, ast.ClassDef)):
-            continue
-        yield child
-        yield from _own(child)
-
-
-def cyclomatic(node: ast.AST) -> int:
-    """One, plus decisions, plus boolean operators."""
-    total = 1
-    for n in _own(node):
-        if isinstance(n, (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler)):
-            total += 1
-        elif isinstance(n, ast.BoolOp):
-            total += len(n.values) - 1
-        elif isinstance(n, _COMPREHENSIONS):
-            total += sum(1 + len(g.ifs) for g in n.generators)
-        elif isinstance(n, ast.match_case):
-            wild = isinstance(n.pattern, ast.MatchAs) and n.pattern.pattern is None
-            total += (not wild) + (n.guard is not None)
-    return total
-
-
-def nesting(body: list[ast.stmt], depth: int = 0) -> int:
-    """Deepest block inside a function."""
-    most = depth
-    for s in body:
-        if isinstance(s, (*_FUNCTIONS, ast.ClassDef)):
-            continue
-        blocks: list[tuple[list, int]] = []
-        if isinstance(s, ast.If):
-            blocks.append((s.body, depth + 1))
-            chained = len(s.orelse) == 1 and isinstance(s.orelse[0], ast.If)
-            blocks.append((s.orelse, depth if chained else depth + 1))
-        elif isinstance(s, (ast.For, ast.AsyncFor, ast.While)):
-            blocks += [(s.body, depth + 1), (s.orelse, depth + 1)]
-        elif isinstance(s, (ast.With, ast.AsyncWith)):
-            blocks.append((s.body, depth + 1))
-        elif isinstance(s, (ast.Try, ast.TryStar)):
-            blocks += [(b, depth + 1) for b in (s.body, s.orelse, s.finalbody, *(h.body for h in s.handlers))]
-        elif isinstance(s, ast.Match):
-            blocks += [(c.body, depth + 2) for c in s.cases]
-        for block, inner in blocks:
-            if block:
-                most = max(most, inner, nesting(block, inner))
-    return most
-
-
-class _Cognitive(ast.NodeVisitor):
-    def __init__(self, name: str):
-        self.name, self.total, self.depth, self.recursive = name, 0, 0, False
-
-    def inside(self, nodes: list) -> None:
-        self.depth += 1
-        for n in nodes:
-            self.visit(n)
-        self.depth -= 1
-
-    def structural(self, head: list, *bodies: list) -> None:
-        self.total += 1 + self.depth
-        for n in head:
-            self.visit(n)
-        for b in bodies:
-            self.inside(b)
-
-    def visit_If(self, node: ast.If) -> None:
-        self.structural([node.test], node.body)
-        self.tail(node.orelse)
-
-    def tail(self, orelse: list) -> None:
-        if len(orelse) == 1 and isinstance(orelse[0], ast.If):
-            self.total += 1
-            self.visit(orelse[0].test)
-            self.inside(orelse[0].body)
-            self.tail(orelse[0].orelse)
-        elif orelse:
-            self.total += 1
-            self.inside(orelse)
-
-    def visit_For(self, node: ast.For) -> None:
-        self.structural([node.target, node.iter], node.body)
-        self.tail_flat(node.orelse)
-
-    visit_AsyncFor = visit_For
-
-    def visit_While(self, node: ast.While) -> None:
-        self.structural([node.test], node.body)
-        self.tail_flat(node.orelse)
-
-    def tail_flat(self, orelse: list) -> None:
-        if orelse:
-            self.total += 1
-            self.inside(orelse)
-
-    def visit_Try(self, node: ast.Try) -> None:
-        for n in node.body:
-            self.visit(n)
-        for h in node.handlers:
-            self.structural([], h.body)
-        for n in [*node.orelse, *node.finalbody]:
-            self.visit(n)
-
-    visit_TryStar = visit_Try
-
-    def visit_IfExp(self, node: ast.IfExp) -> None:
-        self.structural([node.test], [node.body, node.orelse])
-
-    def visit_Match(self, node: ast.Match) -> None:
-        self.structural([node.subject], *[c.body for c in node.cases])
-
-    def visit_BoolOp(self, node: ast.BoolOp) -> None:
-        self.total += 1  # one for each run of the same operator
-        for v in node.values:
-            self.visit(v)
-
-    def visit_Call(self, node: ast.Call) -> None:
-        f = node.func
-        name = f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) and isinstance(f.value, ast.Name) and f.value.id in ("self", "cls") else None
-        if name == self.name and not self.recursive:
-            self.recursive = True
-            self.total += 1
-        self.generic_visit(node)
-
-    def skip(self, node: ast.AST) -> None:
-        pass
-
-    visit_FunctionDef = visit_AsyncFunctionDef = visit_ClassDef = visit_Lambda = skip
-
-
-def cognitive(node: ast.FunctionDef | ast.AsyncFunctionDef) -> int:
-    visitor = _Cognitive(node.name)
-    for s in node.body:
-        visitor.visit(s)
-    return visitor.total
-
-
-def python_callables(text: str) -> list[dict] | None:
-    """Functions of a file in source order, or None if it does not parse."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
-    lines = text.splitlines()
-    found: list[dict] = []
+_LOOPS = (ast.For, ast.AsyncFor, ast.While)
+LINES = ("total_physical_lines", "blank_lines", "nonblank_lines", "code_lines", "comment_lines")
+MEASURES = ("nloc", "parameters", "decisions", "booleans", "max_condition", "cyclomatic", "max_nesting", "cognitive")
+_CALLABLE = pa.struct([("name", pa.string()), ("qualified_name", pa.string()), ("kind", pa.string()), ("owner", pa.string()), ("place", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), *((m, pa.int32()) for m in MEASURES)])
+_CALLABLE_SQL = "name: string, qualified_name: string, kind: string, owner: string, place: int, start_line: int, end_line: int, " + ", ".join(f"{m}: int" for m in MEASURES)
+
+
+def _operators(node: ast.AST) -> list[tuple[int, int, str]]:
+    """Short-circuit operators of an expression with the place of what follows them; nested callables left out."""
+    if isinstance(node, _BOUNDARY):
+        return []
+    own = [(v.lineno, v.col_offset, type(node.op).__name__) for v in node.values[1:]] if isinstance(node, ast.BoolOp) else []
+    return own + [o for child in ast.iter_child_nodes(node) for o in _operators(child)]
+
+
+class _Measured:
+    def __init__(self, function: ast.FunctionDef | ast.AsyncFunctionDef, owner: str):
+        self.name, self.receivers = function.name, {"self", "cls", owner} - {""}
+        self.decisions = self.booleans = self.max_condition = self.max_nesting = self.cognitive = 0
+        self.recursive = False
+        self.block(function.body, 0, 0)
+        self.cognitive += self.recursive
+
+    def block(self, body: list, depth: int, weight: int) -> None:
+        if body:
+            self.max_nesting = max(self.max_nesting, depth)
+        for statement in body:
+            self.statement(statement, depth, weight)
+
+    def branch(self, body: list, depth: int, weight: int, flat: bool = True) -> None:
+        if body:
+            self.cognitive += flat
+            self.block(body, depth, weight)
+
+    def condition(self, node: ast.AST, weight: int) -> None:
+        self.max_condition = max(self.max_condition, len(_operators(node)))
+        self.expression(node, weight)
+
+    def chain(self, node: ast.If, depth: int, weight: int) -> None:
+        self.decisions += 1
+        self.condition(node.test, weight)
+        self.block(node.body, depth + 1, weight + 1)
+        other = node.orelse[0] if len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If) else None
+        if other and other.col_offset == node.col_offset:  # elif: an if inside else stands further right
+            self.cognitive += 1
+            self.chain(other, depth, weight)
+        else:
+            self.branch(node.orelse, depth + 1, weight + 1)
+
+    def statement(self, node: ast.AST, depth: int, weight: int) -> None:
+        if isinstance(node, _BOUNDARY):
+            return
+        if isinstance(node, ast.If):
+            self.cognitive += 1 + weight
+            self.chain(node, depth, weight)
+        elif isinstance(node, _LOOPS):
+            self.decisions += 1
+            self.cognitive += 1 + weight
+            if isinstance(node, ast.While):
+                self.condition(node.test, weight)
+            else:
+                self.expression(node.iter, weight)
+            self.block(node.body, depth + 1, weight + 1)
+            self.branch(node.orelse, depth + 1, weight + 1)
+        elif isinstance(node, (ast.Try, ast.TryStar)):
+            self.block(node.body, depth + 1, weight)
+            for handler in node.handlers:
+                self.decisions += 1
+                self.cognitive += 1 + weight
+                self.block(handler.body, depth + 1, weight + 1)
+            self.branch(node.orelse, depth + 1, weight + 1)
+            self.branch(node.finalbody, depth + 1, weight, flat=False)
+        elif isinstance(node, (ast.With, ast.AsyncWith)):
+            for item in node.items:
+                self.expression(item.context_expr, weight)
+            self.block(node.body, depth + 1, weight)
+        elif isinstance(node, ast.Match):
+            self.cognitive += 1 + weight
+            self.expression(node.subject, weight)
+            for case in node.cases:
+                p = case.pattern
+                self.decisions += not (isinstance(p, ast.MatchAs) and p.pattern is None and p.name is None)
+                if case.guard is not None:
+                    self.decisions += 1
+                    self.cognitive += 1
+                    self.condition(case.guard, weight + 1)
+                self.max_nesting = max(self.max_nesting, depth + 1)
+                self.block(case.body, depth + 2, weight + 1)
+        else:
+            for child in ast.iter_child_nodes(node):
+                (self.statement(child, depth, weight) if isinstance(child, ast.stmt) else self.expression(child, weight))
+
+    def expression(self, node: ast.AST, weight: int, counted: bool = False) -> None:
+        """``counted`` where the operators around have already been taken for a run."""
+        if isinstance(node, _BOUNDARY):
+            return
+        if isinstance(node, ast.Call):
+            f = node.func
+            own = isinstance(f, ast.Attribute) and f.attr == self.name and isinstance(f.value, ast.Name) and f.value.id in self.receivers
+            self.recursive |= own or isinstance(f, ast.Name) and f.id == self.name
+        if isinstance(node, ast.BoolOp):
+            self.booleans += len(node.values) - 1
+            if not counted:
+                signs = [o[2] for o in sorted(_operators(node))]
+                self.cognitive += sum(a != b for a, b in zip(signs, [None, *signs]))
+            counted = True
+        if isinstance(node, ast.IfExp):
+            self.decisions += 1
+            self.cognitive += 1 + weight
+            self.max_condition = max(self.max_condition, len(_operators(node.test)))
+            self.expression(node.test, weight, counted)
+            self.expression(node.body, weight + 1, counted)
+            self.expression(node.orelse, weight + 1, counted)
+            return
+        if isinstance(node, _COMPREHENSIONS):
+            self.cognitive += 1 + weight
+            for g in node.generators:
+                self.decisions += 1 + len(g.ifs)
+                self.cognitive += len(g.ifs)
+                self.expression(g.iter, weight, counted)
+                for test in g.ifs:
+                    self.max_condition = max(self.max_condition, len(_operators(test)))
+                    self.expression(test, weight + 1, counted)
+            for child in ast.iter_child_nodes(node):
+                if not isinstance(child, ast.comprehension):
+                    self.expression(child, weight + 1, counted)
+            return
+        for child in ast.iter_child_nodes(node):
+            self.expression(child, weight, counted)
+
+
+def _python_masked(text: str) -> str:
+    lines = text.split("\n")
+    for t in python_tokens.generate_tokens(io.StringIO(text, newline="\n").readline):
+        if t.type == python_tokens.COMMENT:
+            row, begin = t.start[0] - 1, t.start[1]
+            lines[row] = lines[row][:begin] + " " * len(t.string) + lines[row][begin + len(t.string) :]
+    return "\n".join(lines)
+
+
+def _overload(node: ast.FunctionDef | ast.AsyncFunctionDef) -> bool:
+    targets = [d.func if isinstance(d, ast.Call) else d for d in node.decorator_list]
+    return any(getattr(t, "id", None) == "overload" or getattr(t, "attr", None) == "overload" for t in targets)
 
-    def walk(node: ast.AST, owner: str, kind: str) -> None:
+
+def _python(text: str) -> tuple[str, dict[str, int], list[dict]]:
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tree = ast.parse(text)
+    masked, entities, found = _python_masked(text), {}, []
+
+    def count(name: str) -> None:
+        entities[name] = entities.get(name, 0) + 1
+
+    def walk(node: ast.AST, chain: tuple[str, ...], owner: str, inside: bool) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.ClassDef):
-                walk(child, f"{owner}{child.name}.", "class_method")
+                count("classes")
+                walk(child, (*chain, child.name), child.name, inside)
             elif isinstance(child, _FUNCTIONS):
-                a = child.args
-                code = sum(bool(x.strip()) and not x.lstrip().startswith("#") for x in lines[child.lineno - 1 : child.end_lineno])
-                found.append({
-                    "qualified_name": owner + child.name, "kind": kind, "start_line": child.lineno, "end_line": child.end_lineno, "nloc": code,
-                    "parameters": len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None),
-                    "cyclomatic": cyclomatic(child), "max_nesting": nesting(child.body), "cognitive": cognitive(child),
-                })
-                walk(child, f"{owner}{child.name}.", "nested_function")
+                method = isinstance(node, ast.ClassDef)
+                kind = "signature_only_methods" if _overload(child) else ("constructors" if child.name in ("__init__", "__new__") else "class_methods") if method else "nested_functions" if inside or owner else "module_functions"
+                count(kind)
+                if isinstance(child, ast.AsyncFunctionDef):
+                    count("async_functions")
+                if kind in ("class_methods", "module_functions"):
+                    a, m = child.args, _Measured(child, owner)
+                    found.append({
+                        "name": child.name, "qualified_name": ".".join((*chain, child.name)), "kind": kind[:-1], "owner": owner if method else "", "start_line": child.lineno, "end_line": child.end_lineno,
+                        "parameters": len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None), **_values(m),
+                    })
+                walk(child, (*chain, child.name), "", True)
             else:
-                walk(child, owner, kind)
+                if isinstance(child, ast.Lambda):
+                    count("lambdas")
+                walk(child, chain, owner, inside)
+
+    walk(tree, (), "", False)
+    return masked, entities, found
+
 
-    walk(tree, "", "module_function")
-    return found
+def _values(m) -> dict[str, int]:
+    return {"decisions": m.decisions, "booleans": m.booleans, "max_condition": m.max_condition, "cyclomatic": 1 + m.decisions + m.booleans, "max_nesting": m.max_nesting, "cognitive": m.cognitive}
 
 
-def callables(df: DataFrame, key: str, language: str, text: str) -> DataFrame:
-    """``(key, qualified_name, kind, *FIELDS, status)``; a file without callables gives no row, a failed one a row of NULLs."""
-    kind = dict(df.dtypes)[key]
-    schema = f"{key} {kind}, qualified_name string, kind string, {', '.join(f'{f} int' for f in FIELDS)}, status string"
+def _braced(text: str, language: str) -> tuple[str, dict[str, int], list[dict]]:
+    source = braced.tokenize(text, language)
+    if not source.sound:
+        raise ValueError("brackets don't match")
+    declared, entities = braced.declarations(source)
+    found = []
+    for c in declared:
+        m = braced.measure(source, c.begin, c.end, c.name, c.receivers)
+        found.append({"name": c.name, "qualified_name": f"{c.owner}.{c.name}" if c.owner else c.name, "kind": c.kind, "owner": c.owner, "start_line": source.lines[c.first], "end_line": source.lines[c.last], "parameters": c.parameters, **_values(m)})
+    return source.masked, entities, found
+
+
+def facts(text: str, language: str) -> dict | None:
+    """Lines, entities and callables of a file; None if it can't be read as its language."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    try:
+        masked, entities, found = _python(text) if language == "Python" else _braced(text, language)
+    except (SyntaxError, ValueError, RecursionError, MemoryError, KeyError, IndexError, python_tokens.TokenError):
+        return None
+    raw, bare = text.split("\n"), masked.split("\n")
+    is_code = [bool(a.strip()) and bool(b.strip()) for a, b in zip(raw, bare)]
+    for place, c in enumerate(found):
+        c["place"] = place
+        c["nloc"] = sum(is_code[c["start_line"] - 1 : c["end_line"]])
+    total = len(raw) - (raw[-1] == "")
+    blank = sum(not line.strip() for line in raw[:total])
+    code = sum(is_code)
+    return {"total_physical_lines": total, "blank_lines": blank, "nonblank_lines": total - blank, "code_lines": code, "comment_lines": total - blank - code, "entities": sorted(entities.items()), "callables": found}
+
+
+def file_metrics(df: DataFrame, keep: list[str], language: str, text: str) -> DataFrame:
+    """``(*keep, status, *LINES, entities, classes_structs, methods_functions, callables)``, one row a file."""
+    kinds, n = dict(df.dtypes), len(keep)
+    columns = ", ".join(f"{k} {kinds[k]}" for k in keep)
+    lines = ", ".join(f"{c} int" for c in LINES)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["qualified_name", "kind", *FIELDS]
-        for b in batches:
-            at, rows = [], []
-            for i, (lang, source) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                if source is None:
-                    continue
-                found = python_callables(source) if lang == "Python" else None
-                for row in [{"status": "failed"}] if found is None else [r | {"status": "complete"} for r in found]:
-                    at.append(i)
-                    rows.append(row)
-            types = [pa.string(), pa.string(), *[pa.int32()] * len(FIELDS), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array([r.get(n) for r in rows], t) for n, t in zip([*names, "status"], types))], names=[key, *names, "status"])
-
-    return df.select(key, language, text).mapInArrow(scan, schema).distinct()
+        for batch in batches:
+            out, states = [], []
+            for lang, source in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
+                known = lang == "Python" or lang in braced.LANGUAGES
+                found = facts(source, lang) if known else None
+                states.append("complete" if found else "failed" if known else "not_applicable")
+                out.append(found or {})
+            columns = [pa.array([f.get(c) for f in out], pa.int32()) for c in LINES]
+            columns += [pa.array([f.get("entities") for f in out], pa.map_(pa.string(), pa.int32())), pa.array([f.get("callables") for f in out], pa.list_(_CALLABLE))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(states, pa.string()), *columns], names=[*keep, "status", *LINES, "entities", "callables"])
+
+    rows = df.where(F.col(text).isNotNull()).select(*keep, F.col(language).alias("_language"), F.col(text).alias("_text")).distinct()
+    out = rows.mapInArrow(scan, f"{columns}, status string, {lines}, entities map<string,int>, callables array<struct<{_CALLABLE_SQL}>>")
+    total = lambda *names: F.when(F.col("status") == "complete", sum((F.coalesce(F.try_element_at("entities", F.lit(x)), F.lit(0)) for x in names), F.lit(0)))
+    return out.withColumns({"classes_structs": total("classes", "records", "structs"), "methods_functions": total("module_functions", "class_methods", "receiver_methods")})
+
+
+def row_id(path: Column, language: Column, kind: Column, qualified: Column, ordinal: Column) -> Column:
+    return digest(F.lit("sievework-callable"), path, language, kind, qualified, F.coalesce(ordinal.cast("string"), F.lit("")))
+
+
+def callables(metrics: DataFrame, keep: list[str]) -> DataFrame:
+    """One row a callable of ``file_metrics``: ``(*keep, name, qualified_name, kind, owner, start_line, end_line, *MEASURES, ordinal)``.
+
+    Only callables that share their identity with another one of the file have an ordinal.
+    """
+    rows = metrics.select(*keep, F.explode("callables").alias("c")).select(*keep, "c.*")
+    same = Window.partitionBy(*keep, "kind", "qualified_name")
+    ordinal = F.when(F.count("*").over(same) > 1, F.row_number().over(same.orderBy("place")) - 1)
+    return rows.withColumn("ordinal", ordinal)
