@@ -111,6 +111,11 @@ def top_rows(df: DataFrame, by: list[str], value: str, ties: list[Column], limit
     return df.where(F.col(value).isNotNull()).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
+def ordered(df: DataFrame, by: list[str], order: list[Column], out: str) -> DataFrame:
+    """Each row's place in a group's canonical order, from 1; the order has to be total."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
+
+
 def reconcile(recorded: DataFrame, parts: DataFrame, keys: list[str], dimensions: list[str], status: str) -> DataFrame:
     """Recorded totals against sums of parts, one row a key and dimension.
 

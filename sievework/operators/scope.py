@@ -43,6 +43,11 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(table, extension(path))
 
 
+def language_allowed(language: Column, allowed: list[str]) -> Column:
+    """Allow-list, case ignored; an empty list admits everything, a missing language nothing else does."""
+    return F.coalesce(F.lower(language).isin(*[x.lower() for x in allowed]), F.lit(False)) if allowed else F.lit(True)
+
+
 def directories(path: Column) -> Column:
     return F.split(F.lower(F.regexp_replace(path, r"/?[^/]*$", "")), "/")
 

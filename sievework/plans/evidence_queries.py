@@ -12,10 +12,8 @@ from sievework.functions import status as S
 from sievework.functions import text as X
 from sievework.functions.paths import hex_number, portable_path
 from sievework.operators import aggregates as A
-from sievework.operators import callables as L
 from sievework.operators import clones as C
 from sievework.operators import diff as D
-from sievework.operators import extract as E
 from sievework.operators import hotspots as H
 from sievework.operators import policy as P
 from sievework.operators import scope as K
@@ -237,15 +235,6 @@ def poisoned_totals(spark, d):
 # -- joins
 
 
-@query("""SELECT 'orders' AS side, o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)
-UNION ALL SELECT 'customer', c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE c_custkey = o_custkey)""")
-def ledger_orphans(spark, d):
-    orders, customer = table(spark, d, "orders"), table(spark, d, "customer")
-    on = F.col("o_custkey") == F.col("c_custkey")
-    a = orders.join(customer, on, "left_anti").select(F.lit("orders").alias("side"), F.col("o_orderkey").alias("id"))
-    return a.unionByName(customer.join(orders, on, "left_anti").select(F.lit("customer").alias("side"), F.col("c_custkey").alias("id")))
-
-
 @query("""WITH f AS (SELECT DISTINCT workspace_id, lower(content_sha256) AS h FROM source_files WHERE content_sha256 IS NOT NULL),
 c AS (SELECT DISTINCT workspace_id, run_id, relative_path, lower(content_sha256) AS h FROM contributions WHERE content_sha256 IS NOT NULL)
 SELECT c.workspace_id, c.run_id, count(*) AS files, count(f.h) AS with_text FROM c LEFT JOIN f ON c.workspace_id = f.workspace_id AND c.h = f.h GROUP BY ALL""")
@@ -504,25 +493,9 @@ def clone_suppression(spark, d):
 # -- scope and markers
 
 
-@query()
-def scope_hash(spark, d):
-    rows = table(spark, d, "contributions").select("workspace_id", "run_id", portable_path(F.col("relative_path")).alias("path"), F.hex(hex_number(F.col("content_sha256"))).alias("digest")).distinct()
-    return K.scope_hash(rows, ["workspace_id", "run_id"], ["path", "digest"])
-
-
 _EXT = "lower(regexp_extract(slashed, '\\.([^./]+)$', 1))"
 
 
-@query(f"""WITH p AS (SELECT DISTINCT relative_path FROM contributions), f AS (SELECT relative_path, string_split(lower(regexp_replace(relative_path, '/?[^/]*$', '')), '/') AS dirs, lower(regexp_extract(relative_path, '([^/]*)$', 1)) AS name FROM p)
-SELECT relative_path, CASE WHEN regexp_matches(lower(relative_path), '\\.d\\.[mc]?ts$|\\.pyi$') THEN 'declaration_only'
-WHEN list_has_any(dirs, {list(K.TEST_DIRECTORIES)}) OR regexp_matches(name, '^test_|_test\\.go$|(_test|\\.test|\\.spec|\\.unit|\\.integration|\\.e2e)\\.[^.]*$|tests?\\.java$|^(conftest|test|tests)\\.py$') THEN 'test'
-WHEN list_has_any(dirs, {list(K.VENDOR_DIRECTORIES)}) THEN 'vendor' WHEN list_has_any(dirs, {list(K.BUILD_DIRECTORIES)}) THEN 'build_output'
-WHEN {' OR '.join(f"lower(relative_path) LIKE '%{g.replace('_', '@_')}' ESCAPE '@'" for g in K.GENERATED)} OR list_has_any(dirs, ['generated']) THEN 'generated'
-WHEN {' OR '.join(f"lower(relative_path) LIKE '%{g}'" for g in K.MINIFIED)} THEN 'minified_or_bundled' END AS reason FROM f""")
-def exclusion_precedence(spark, d):
-    return table(spark, d, "contributions").select("relative_path").distinct().select("relative_path", K.exclusion_reason(F.col("relative_path")).alias("reason"))
-
-
 @query(f"""WITH p AS (SELECT DISTINCT relative_path, replace(relative_path, '\\', '/') AS slashed FROM contributions)
 SELECT relative_path, CASE {' '.join(f"WHEN {_EXT} = '{e}' THEN '{x}'" for e, x in K.LANGUAGE_OF.items())} END AS language, regexp_matches(slashed, '^(src/.*|.*/test_[^/]*|.*\\.jsx)$') AS matched,
 {_PORTABLE} AS portable FROM p""")
@@ -539,27 +512,6 @@ def line_endings(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", K.line_endings(F.col("text")).alias("endings"))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{m}' AS marker, regexp_extract(text, '(?i){p}', 0) AS matched FROM documents WHERE regexp_matches(text, '(?i){p}')" for m, p in E.BROKERS.items()))
-def broker_markers(spark, d):
-    return E.markers(table(spark, d, "documents").where("text is not null"), ["doc_id"], "text", E.BROKERS)
-
-
-@query()
-def endpoints(spark, d):
-    return E.endpoints(table(spark, d, "source_files").where("source_text is not null"), ["file_id"], "source_text")
-
-
-@query("""WITH f AS (SELECT DISTINCT file_id, workspace_id, relative_path, detected_language, source_text FROM source_files),
-c AS (SELECT workspace_id, CASE detected_language """ + " ".join(f"WHEN '{x}' THEN length(regexp_extract_all(source_text, '{p}'))" for x, p in E.TEST_CASES.items()) + """ ELSE 0 END AS cases, lower(relative_path) LIKE 'tests/%' AS is_test FROM f)
-SELECT workspace_id, sum(cases)::BIGINT AS cases, count_if(is_test) AS test_files, count_if(NOT is_test) AS source_files, round(least(sum(cases) / nullif(count_if(NOT is_test), 0), 1.0), 4) AS density FROM c GROUP BY ALL""")
-def test_density(spark, d):
-    files = table(spark, d, "source_files").select("file_id", "workspace_id", "relative_path", "detected_language", "source_text").distinct()
-    return E.test_density(files, ["workspace_id"], "detected_language", "source_text", F.lower("relative_path").startswith("tests/"))
-
-
-test_density.__test__ = False
-
-
 # -- policy
 
 _RULES = [
@@ -641,11 +593,6 @@ def ratchet_compare(spark, d):
 # -- front end and scalars
 
 
-@query()
-def python_callables(spark, d):
-    return L.callables(table(spark, d, "source_files"), "file_id", "detected_language", "source_text")
-
-
 @query("""SELECT DISTINCT artifact_schema_version AS declared, regexp_matches(artifact_schema_version, '^(0|[1-9][0-9]*)\\.(0|[1-9][0-9]*)\\.(0|[1-9][0-9]*)$') AS strict,
 CASE WHEN regexp_matches(artifact_schema_version, '^(0|[1-9][0-9]*)\\.(0|[1-9][0-9]*)\\.(0|[1-9][0-9]*)$') THEN split_part(artifact_schema_version, '.', 2)::INT END AS minor FROM language_metrics""")
 def declared_versions(spark, d):
