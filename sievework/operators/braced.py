@@ -305,7 +305,9 @@ class _Body:
 
     def condition(self, i: int, end: int, weight: int) -> None:
         if self.go:
-            i = self.split(i, end, ";")[-1][0]
+            *before, (i, end) = self.split(i, end, ";")
+            for a, b in before:
+                self.expression(a, b, weight)
         self.m.max_condition = max(self.m.max_condition, len(self.operators(i, end)))
         self.expression(i, end, weight)
 

@@ -109,7 +109,7 @@ def scope_hash(spark, d):
 
 
 @query(f"""WITH f AS (SELECT DISTINCT file_id, detected_language, {_PORTABLE} AS path FROM source_files)
-SELECT file_id, path, detected_language FROM f WHERE lower(detected_language) IN ('go', 'typescript', 'python') AND regexp_matches(path, '^(src/.*|.*\\.py|pkg/.*)$') AND NOT regexp_matches(path, '(^|/)[^/]*_test\\.go$|^.*/[a-m][^/]*\\.ts$')""")
+SELECT file_id, path, detected_language FROM f WHERE lower(detected_language) IN ('go', 'typescript', 'python') AND regexp_matches(path, '^(src/.*|.*\\.py|pkg/.*)$') AND NOT regexp_matches(path, '(^|/)[^/]*_test\\.go$|^.*/[a-m].*\\.ts$')""")
 def selected_files(spark, d):
     """Files by allow-list of languages, case ignored, and by shell patterns that admit and refuse paths."""
     rows = table(spark, d, "source_files").select("file_id", "detected_language", portable_path(F.col("relative_path")).alias("path")).distinct()

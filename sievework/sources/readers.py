@@ -5,14 +5,12 @@ Everything is a lazy DataFrame with an explicit schema; nothing infers one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions.numbers import lenient_boolean, numeric_value, strict_integer
-from sievework.operators.scope import exclusion_reason, language_of
+from sievework.operators.scope import exclusion_reason, language_of, nul_class
 
 #: How each column type reads a text cell; what a cell can't be stays NULL and is reported by ``violations``.
 _READ = {"string": lambda c: c, "integer": strict_integer, "number": numeric_value, "boolean": lenient_boolean, "json": lambda c: F.try_parse_json(c)}
@@ -40,19 +38,33 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema, mode="FAILFAST")
 
 
-def source_tree(spark: SparkSession, root: str, *, largest: int = 5_000_000) -> DataFrame:
-    """Inventory of a tree: path, size, digest, language, the reason that excludes a file, and text of included ones.
+def source_tree(spark: SparkSession, root: str, *, largest: int = 5_000_000, prefix: int = 65_536) -> DataFrame:
+    """Inventory of a tree: path, size, digest, encoding, language, the reason that excludes a file, and text of included ones.
 
-    Size filters reach the file source, and content is read only for columns that need it.
+    A file beyond ``largest`` bytes is told as ``oversized`` and judged by its first ``prefix`` bytes only; every smaller file
+    is read whole.  Names decide before contents: what they exclude keeps its digest, but its text is never decoded.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{base}/", "")
-    rows = files.select(relative.alias("relative_path"), F.col("length").alias("size_bytes"), "content").withColumn("language", language_of(F.col("relative_path")))
-    reason = F.when(F.col("size_bytes") > largest, "oversized").otherwise(exclusion_reason(F.col("relative_path")))
-    rows = rows.withColumn("exclusion_reason", reason)
+    rows = files.select(relative.alias("relative_path"), F.col("length").alias("size_bytes"), "content")
+    path, big = F.col("relative_path"), F.col("size_bytes") > largest
+    rows = rows.withColumns({"language": language_of(path), "byte_order_mark": byte_order_mark(F.col("content")), "by_name": exclusion_reason(path)})
+    readable = F.col("language").isNotNull() & F.col("by_name").isNull()
+    decoded = F.when(readable, decode_source(F.when(big, F.substring("content", 1, prefix)).otherwise(F.col("content")), F.col("byte_order_mark")))
+    rows = rows.withColumn("text", decoded)
+    by_text = F.when(F.col("text").isNull(), "undecodable").otherwise(F.coalesce(exclusion_reason(path, text=F.col("text")), nul_class(F.col("text"))))
+    rows = rows.withColumn("exclusion_reason", F.coalesce("by_name", F.when(readable, F.coalesce(F.when(big, "oversized"), by_text))))
     included = F.col("language").isNotNull() & F.col("exclusion_reason").isNull()
-    return rows.select("relative_path", "size_bytes", "language", "exclusion_reason", included.alias("included"), F.sha2("content", 256).alias("content_sha256"), F.when(included, F.try_validate_utf8("content")).alias("source_text"))
+    return rows.select(
+        "relative_path", "size_bytes", "language", "exclusion_reason", included.alias("included"), "byte_order_mark", F.when(~big, F.sha2("content", 256)).alias("content_sha256"), F.when(included, F.col("text")).alias("source_text")
+    )
+
+
+def decode_source(content: Column, mark: Column) -> Column:
+    """Text of a file by its byte-order mark, else strict UTF-8; NULL where it isn't."""
+    wide = F.decode(content, "UTF-16")
+    return F.when(mark.isin("utf-16-le", "utf-16-be"), wide).otherwise(F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^\\x{feff}", ""))
 
 
 def byte_order_mark(content: Column) -> Column:
@@ -90,7 +102,3 @@ def open_run(spark: SparkSession, directory: str, tables: list[str], prefix: str
     for t, df in found.items():
         df.createOrReplaceTempView(prefix + t)
     return found
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -137,7 +137,8 @@ def test_scope(spark):
 def test_markers(spark):
     text = "app.get('/a', f); @PostMapping(\"/b\")\nhttp.HandleFunc(\"/c\", h)\n@bp.route('/d')\nuses Kafka"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
-    assert rows(E.endpoints(df, ["id"], "text"), "method", "route") == [("ANY", "/c"), ("ANY", "/d"), ("GET", "/a"), ("POST", "/b")]
+    each = df.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in ("JavaScript", "Java", "Go")])))
+    assert rows(E.endpoints(each, ["id", "lang"], "text", "lang"), "lang", "method", "route") == [("Go", "ANY", "/c"), ("Go", "ANY", "/d"), ("Go", "GET", "/a"), ("Java", "POST", "/b"), ("JavaScript", "ANY", "/c"), ("JavaScript", "ANY", "/d"), ("JavaScript", "GET", "/a")]
     assert rows(E.markers(df, ["id"], "text", E.BROKERS), "id", "marker", "matched") == [(1, "kafka", "Kafka")]
 
 
@@ -178,16 +179,45 @@ class K:
 
 
 def test_callables():
-    f, m = L.python_callables(textwrap.dedent(SOURCE))
+    f, m = L.facts(textwrap.dedent(SOURCE), "Python")["callables"]
     assert (f["qualified_name"], f["parameters"], f["cyclomatic"], f["max_nesting"]) == ("f", 4, 1 + 1 + 2 + 1 + 1 + 1 + 2, 3)
-    assert f["cognitive"] == 1 + 2 + 2 + 3 + 1 + 1 + 1
+    assert f["cognitive"] == 1 + 2 + 2 + 3 + 1 + 2 + 1 + 1 + 1
     assert (m["qualified_name"], m["kind"], m["cyclomatic"], m["max_nesting"], m["cognitive"]) == ("K.m", "class_method", 4, 2, 1 + 1 + 2)
-    assert L.python_callables("def f(:") is None and L.python_callables("") == []
+    assert L.facts("def f(:", "Python") is None and L.facts("", "Python")["callables"] == []
 
 
-def test_callables_of_other_languages_are_not_zero(spark):
-    df = spark.createDataFrame([(1, "Go", "package a"), (2, "Python", "x ="), (3, "Python", "x = 1"), (4, None, None)], "id long, lang string, text string")
-    assert rows(L.callables(df, "id", "lang", "text"), "id", "cyclomatic", "status") == [(1, None, "failed"), (2, None, "failed")]
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("return [a for a in x if a]", {"cognitive": 2, "cyclomatic": 3}), ("if a:\n        b\n    else:\n        if c:\n            d", {"max_nesting": 2, "cognitive": 4}),
+        ("match a:\n        case x:\n            pass", {"cyclomatic": 2}), ("match a:\n        case _:\n            pass", {"cyclomatic": 1}), ("match a:\n        case 1 if b:\n            pass", {"cognitive": 2}),
+        ("return a or b and c or d", {"cognitive": 3}), ("x = 1\x0c\n    y = 2", {"nloc": 3}), ("x = \"\"\"\n# in a text\n\"\"\"", {"nloc": 4}), ("with a:\n        b", {"max_nesting": 1, "cognitive": 0}),
+    ],
+)
+def test_python_measures(body, want):
+    (c,) = L.facts(f"def f(x):\n    {body}\n", "Python")["callables"]
+    assert {k: c[k] for k in want} == want
+
+
+@pytest.mark.parametrize(
+    "language,text,name,want",
+    [
+        ("Java", "class A { A(int a) {} abstract int s(); int f(Map<K, V> m, int... b) { for (;;) { if (a && b || c) f(m); else if (d) g(); else h(); } } }", "A.f", {"parameters": 2, "decisions": 3, "booleans": 2, "cognitive": 1 + 2 + 2 + 1 + 1 + 1, "max_nesting": 2}),
+        ("Java", "class A { int f() { switch (k) { case 1: case 2: a(); default: b(); } Runnable r = () -> { if (z) q(); }; return x ? 1 : y ? 2 : 3; } }", "A.f", {"decisions": 4, "cognitive": 1 + 1 + 2, "max_nesting": 2}),
+        ("JavaScript", "export const f = async (a) => { try { await a } catch { b() } finally { c() } }\nconst re = /[{(]/\n", "f", {"decisions": 1, "cognitive": 1, "max_nesting": 1}),
+        ("JavaScript", "const f = x => x ?? y\nconst g = 1", "f", {"booleans": 1, "parameters": 1, "end_line": 1}),
+        ("TypeScript", "function f(a: string): void;\nfunction f(a?: any): a is B { return a ? true : false }", "f", {"decisions": 1, "parameters": 1}),
+        ("Go", "package p\nfunc (s *S) f(a, b int) error {\n\tif err := s.f(1, 2); err != nil && ok {\n\t\treturn err\n\t} else {\n\t\tgoto end\n\t}\n\tgo func() { if x { } }()\n}", "S.f", {"decisions": 1, "booleans": 1, "cognitive": 1 + 1 + 1 + 1 + 1, "parameters": 2}),
+    ],
+)
+def test_measures_of_braced_languages(language, text, name, want):
+    c = next(c for c in L.facts(text, language)["callables"] if c["qualified_name"] == name)
+    assert {k: c[k] for k in want} == want
+
+
+def test_what_cannot_be_read_is_not_zero(spark):
+    df = spark.createDataFrame([(1, "Go", "package a {"), (2, "Python", "x ="), (3, "Python", "x = 1"), (4, None, None), (5, "Cobol", "x"), (6, "Java", "")], "id long, lang string, text string")
+    assert rows(L.file_metrics(df, ["id"], "lang", "text"), "id", "status", "code_lines", "methods_functions") == [(1, "failed", None, None), (2, "failed", None, None), (3, "complete", 1, 0), (5, "not_applicable", None, None), (6, "complete", 0, 0)]
 
 
 @pytest.mark.parametrize(
