@@ -40,3 +40,21 @@ def compare(observed: Column, operator: Column, threshold: Column) -> Column:
         F.when(operator == "gt", observed > threshold).when(operator == "gte", observed >= threshold).when(operator == "lt", observed < threshold)
         .when(operator == "lte", observed <= threshold).when(operator == "eq", observed == threshold).when(operator == "ne", observed != threshold)
     )
+
+
+def canonical_number(value: Column) -> Column:
+    """One spelling for each number: whole ones without a point, others with up to six decimals and no zeros at the end."""
+    whole = value.cast("decimal(38,0)").cast("string")
+    text = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,6)").cast("string"), "0+$", ""), "\\.$", "")
+    return F.when(value == F.round(value), whole).otherwise(text)
+
+
+def rendered(value: Column, unavailable: str = "unavailable") -> Column:
+    """A value for reading: what wasn't measured says so, and a measured zero stays a zero."""
+    return F.coalesce(canonical_number(value.cast("double")), F.lit(unavailable))
+
+
+def evidence_cell(value: Column) -> Column:
+    """A value for a cell of a table: NULL and the empty text stay apart."""
+    text = value.cast("string")
+    return F.when(text.isNull(), "null").otherwise(F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2))

@@ -150,3 +150,20 @@ def sample_profile(df: DataFrame, by: list[str], value: str, fractions: dict[str
     ranked = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
     at = [F.max(F.when(F.col("i") == F.bround(F.lit(f) * (F.col("n") - 1)), F.col(value))).alias(k) for k, f in fractions.items()]
     return ranked.groupBy(*by).agg(F.count("*").alias("samples"), F.median(value).alias("median"), *at)
+
+
+def compare_profiles(before: DataFrame, after: DataFrame, keys: list[str], *, least: int, noise: float) -> DataFrame:
+    """Medians of two profiles: ``(*keys, before, after, comparability, delta, within_noise)``.
+
+    The worst verdict wins: a missing side, then too few samples; only comparable sides have a delta.
+    """
+    a = before.select(*keys, F.col("samples").alias("_na"), F.round("median", 6).alias("before"))
+    b = after.select(*keys, F.col("samples").alias("_nb"), F.round("median", 6).alias("after"))
+    verdict = F.when(F.col("_na").isNull() | F.col("_nb").isNull(), "side_absent").when(F.least("_na", "_nb") < least, "insufficient_samples").otherwise("comparable")
+    delta = F.when(verdict == "comparable", F.round(F.col("after") - F.col("before"), 6))
+    return a.join(b, keys, "full").select(*keys, "before", "after", verdict.alias("comparability"), delta.alias("delta"), (F.abs(delta) <= noise).alias("within_noise"))
+
+
+def reasons(conditions: dict[str, Column]) -> Column:
+    """All conditions that hold, by name, in order."""
+    return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in conditions.items()])), ",")

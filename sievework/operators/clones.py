@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import digest, normal_lines
@@ -119,3 +119,33 @@ def _matching(pdf: pd.DataFrame) -> pd.DataFrame:
     done = all(place(child, set()) for child in sorted(options))
     head = pdf[["child", "parent", "n", "path"]].head(1 if done else 0)
     return head.assign(children=len(options))
+
+
+def body_floors(df: DataFrame, statements: Column, tokens: Column, nloc: Column) -> DataFrame:
+    """Bodies with ``admitted`` and ``missed``, the floors they don't reach: four statements, forty tokens, eight code lines."""
+    missed = F.array_compact(F.array(F.when(statements < 4, "statements"), F.when(tokens < 40, "tokens"), F.when(nloc < 8, "nloc")))
+    return df.withColumns({"missed": F.array_join(missed, ","), "admitted": F.size(missed) == 0})
+
+
+def group_ids(members: DataFrame, group: list[str], coordinate: list[str]) -> DataFrame:
+    """Identity of each group, ``dg1:``, over its sorted occurrences.
+
+    Occurrence hashes are combined in 256 buckets first, so a group with a third of all rows isn't joined in one task.
+    """
+    h = digest(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in coordinate], prefix="")
+    inner = members.select(*group, h.alias("h")).distinct().groupBy(*group, F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
+    outer = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")
+    return inner.groupBy(*group).agg(F.concat(F.lit("dg1:"), F.sha2(outer, 256)).alias("group_id"), F.sum("n").alias("occurrences"))
+
+
+def group_order(df: DataFrame, by: list[str]) -> DataFrame:
+    """Canonical order of groups: most occurrences first, then identity."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("occurrences").desc(), "group_id")).cast("bigint"))
+
+
+def kind_status(df: DataFrame, by: list[str], status: str) -> DataFrame:
+    """Status of a kind of analysis over files: what wasn't requested doesn't count, all failed is failed, any failed is partial."""
+    asked = F.col(status) != "not_requested"
+    n, failed, bad = F.count_if(asked), F.count_if(F.col(status) == "failed"), F.count_if(F.col(status).isin("failed", "partial"))
+    state = F.when(n == 0, "not_requested").when(failed == n, "failed").when(bad > 0, "partial").otherwise("complete")
+    return df.groupBy(*by).agg(state.alias("status"), n.alias("requested"), failed.alias("failed"))

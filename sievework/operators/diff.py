@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.functions.text import digest
+
 
 def file_evidence(left: DataFrame, right: DataFrame, keys: list[str], digest: str) -> DataFrame:
     """Full join on the key: added, removed, changed, unchanged, and indeterminate where a digest is unknown."""
@@ -138,5 +140,25 @@ def comparability(left: DataFrame, right: DataFrame, keys: list[str], blocking:
     return both.select(*keys, verdict.alias("verdict"), F.array_join(F.concat("blocking", "reported"), ",").alias("differences"))
 
 
-def subset(df: DataFrame, conditions: dict[str, object]) -> DataFrame:
-    return df.where(reduce(lambda a, it: a & (F.col(it[0]) == it[1]), conditions.items(), F.lit(True)))
+def identity_changes(left: DataFrame, right: DataFrame, keys: list[str], identity: str, declared: list[str]) -> DataFrame:
+    """Whether a subject's source is the same on both sides, and which declared dimensions differ: ``(*keys, before, after, source, differences)``."""
+    a = left.select(*keys, F.col(identity).alias("before"), *[F.col(c).alias(f"l_{c}") for c in declared])
+    b = right.select(*keys, F.col(identity).alias("after"), *[F.col(c).alias(f"r_{c}") for c in declared])
+    source = F.when(F.col("before").isNull() | F.col("after").isNull(), "unknown").when(F.col("before") == F.col("after"), "same").otherwise("changed")
+    differs = F.array_compact(F.array(*[F.when(~F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}")), F.lit(c)) for c in declared]))
+    return a.join(b, keys).select(*keys, "before", "after", source.alias("source"), F.array_join(differs, ",").alias("differences"))
+
+
+def change_ids(changes: DataFrame, scope: list[str], old_path: str, new_path: str, kind: str) -> DataFrame:
+    """Changes with ``change_id`` and their place in canonical order: by the earlier path, files that had none last, then the later path and kind."""
+    ident = digest(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*scope, old_path, new_path, kind]], prefix="change:")
+    order = Window.partitionBy(*scope).orderBy(F.col(old_path).asc_nulls_last(), F.col(new_path).asc_nulls_last(), kind)
+    return changes.withColumns({"change_id": ident, "place": F.row_number().over(order).cast("bigint")})
+
+
+def row_deltas(steps_: DataFrame, keys: list[str], values: list[str], state: str) -> DataFrame:
+    """Per-file deltas of ``steps``: ``(*keys, state, dimension, before, after, delta, reason)``, equal values left out."""
+    item = lambda v: F.struct(F.lit(v).alias("dimension"), F.col(f"before.{v}").cast("double").alias("before"), F.col(f"after.{v}").cast("double").alias("after"))
+    long = steps_.select(*keys, F.col(state).alias("state"), F.explode(F.array(*[item(v) for v in values])).alias("x")).select(*keys, "state", "x.*")
+    reason = F.when(F.col("state").isin("added", "removed"), "side_absent").when(F.col("before").isNull() | F.col("after").isNull(), "measurement_unavailable")
+    return long.withColumns({"delta": F.col("after") - F.col("before"), "reason": reason}).where(~F.col("before").eqNullSafe(F.col("after")))

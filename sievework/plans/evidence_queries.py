@@ -547,8 +547,8 @@ def _findings(spark, d):
 @query("WITH " + _OBS + "SELECT *, CASE WHEN status = 'violated' AND (rule_id = 'few-files' OR (rule_id = 'long-subject' AND subject_key LIKE 'repo:atlas%')) THEN CASE rule_id WHEN 'few-files' THEN 'w1' ELSE 'w2' END END AS waiver_id FROM f")
 def policy_findings(spark, d):
     waivers = spark.createDataFrame(
-        [("w1", "few-files", None, None), ("w2", "long-subject", "repo:atlas-monorepo/kernel", datetime.date(2999, 1, 1)), ("w0", "no-code", None, datetime.date(2020, 1, 1))],
-        "waiver_id string, rule_id string, subject string, expires_on date",
+        [(1, "w1", "few-files", None, None), (2, "w2", "long-subject", "repo:atlas-monorepo/kernel", datetime.date(2999, 1, 1)), (3, "w0", "no-code", None, datetime.date(2020, 1, 1)), (4, "w3", "few-files", None, None)],
+        "place int, waiver_id string, rule_id string, subject string, expires_on date",
     )
     return P.waive(_findings(spark, d), waivers, "subject_key", F.lit(datetime.date(2025, 6, 1)))
 
