@@ -29,7 +29,7 @@ def _digest(prefix: str, *parts: str) -> str:
 # -- the input ledger: one row a subject and run, flags and languages planted by the columns, revisions asked for in odd workspaces only
 
 _URL = r"^(?:https?://(?:www\.)?|git@|ssh://git@)([A-Za-z0-9.-]+)[/:]([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+?)(?:\.git)?/?$"
-_INPUT = f"""raw AS (SELECT workspace_id, subject_key, run_id, run_seq, max(repository_url) AS url, CASE WHEN workspace_id % 2 = 1 THEN max(requested_sha) END AS sha, max(analyzed_sha) AS analyzed FROM contributions GROUP BY ALL),
+_INPUT = f"""raw AS (SELECT workspace_id, subject_key, run_id, run_seq, max(repository_url) AS url, max(CASE WHEN workspace_id % 2 = 1 THEN requested_sha END) AS sha, max(analyzed_sha) AS analyzed FROM contributions GROUP BY ALL),
 said AS (SELECT *, CASE length(subject_key) % 4 WHEN 0 THEN ' python' WHEN 1 THEN '' WHEN 2 THEN 'GO' ELSE CASE WHEN run_seq = 5 THEN 'cobol' END END AS lang, CASE run_seq % 5 WHEN 4 THEN 'maybe' WHEN 3 THEN 'no' ELSE '' END AS flag FROM raw),
 parsed AS (SELECT *, CASE WHEN regexp_matches(trim(url), '{_URL}') THEN 'https://' || lower(regexp_extract(trim(url), '{_URL}', 1)) || '/' || regexp_extract(trim(url), '{_URL}', 2) || '/' || regexp_extract(trim(url), '{_URL}', 3) END AS canonical_url,
  CASE lower(trim(lang)) WHEN 'python' THEN 'Python' WHEN 'go' THEN 'Go' END AS expected_language, nullif(lower(trim(sha)), '') AS requested_sha, CASE flag WHEN '' THEN true WHEN 'no' THEN false END AS enabled FROM said),
