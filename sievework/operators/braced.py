@@ -133,6 +133,7 @@ class Measures:
     max_nesting: int = 0
     cognitive: int = 0
     recursive: bool = False
+    statements: int = 0
 
 
 class _Body:
@@ -183,6 +184,7 @@ class _Body:
         if s.kinds[i] == "p" and v == ";":
             return i + 1
         m.max_nesting = max(m.max_nesting, depth)
+        m.statements += v != "{"
         if s.kinds[i] == "p" and v == "{":
             self.block(i + 1, s.pairs[i], depth, weight)
             return s.pairs[i] + 1
@@ -437,6 +439,26 @@ def measure(source: Source, begin: int, end: int, name: str, receivers: frozense
     return body.m
 
 
+#: Words that keep their spelling in a structure (fixed values of the languages).
+WORDS = _STARTS | _KEEPS_LINE | frozenset("else catch finally new instanceof extends implements super this null nil true false undefined void int long double float boolean char byte short String static final async await yield typeof in of range default delete goto fallthrough synchronized assert".split())
+
+
+def canonical(source: Source, begin: int, end: int) -> tuple[str, str]:
+    """(tokens as they are, structure): in the structure names are numbered by role and first appearance, literals are classes."""
+    seen: dict[tuple[str, str], int] = {}
+    plain, shape = [], []
+    for i in range(begin, end):
+        k, v = source.kinds[i], source.values[i]
+        plain.append(v)
+        if k == "n" and v not in WORDS:
+            role = "m" if source.at(i - 1) in (".", "?.") else "f" if source.at(i + 1) == "(" else "v"
+            n = seen.setdefault((role, v), sum(r == role for r, _ in seen))
+            shape.append(f"{role}{n}")
+        else:
+            shape.append("text" if k == "s" else "number" if k == "d" else v)
+    return "\x1f".join(plain), "\x1f".join(shape)
+
+
 @dataclass
 class Callable:
     name: str

@@ -16,9 +16,12 @@ from __future__ import annotations
 
 import ast
 import io
+import keyword
 import tokenize as python_tokens
 import warnings
+from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +36,8 @@ _COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
 LINES = ("total_physical_lines", "blank_lines", "nonblank_lines", "code_lines", "comment_lines")
 MEASURES = ("nloc", "parameters", "decisions", "booleans", "max_condition", "cyclomatic", "max_nesting", "cognitive")
-_CALLABLE = pa.struct([("name", pa.string()), ("qualified_name", pa.string()), ("kind", pa.string()), ("owner", pa.string()), ("place", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), *((m, pa.int32()) for m in MEASURES)])
-_CALLABLE_SQL = "name: string, qualified_name: string, kind: string, owner: string, place: int, start_line: int, end_line: int, " + ", ".join(f"{m}: int" for m in MEASURES)
+_CALLABLE = pa.struct([("name", pa.string()), ("qualified_name", pa.string()), ("kind", pa.string()), ("owner", pa.string()), ("place", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()), *((m, pa.int32()) for m in MEASURES), ("statements", pa.int32()), ("tokens", pa.int32()), ("lexical", pa.string()), ("structural", pa.string())])
+_CALLABLE_SQL = "name: string, qualified_name: string, kind: string, owner: string, place: int, start_line: int, end_line: int, " + ", ".join(f"{m}: int" for m in MEASURES) + ", statements: int, tokens: int, lexical: string, structural: string"
 
 
 def _operators(node: ast.AST) -> list[tuple[int, int, str]]:
@@ -161,15 +164,38 @@ class _Measured:
             self.expression(child, weight, counted)
 
 
-def _python_masked(text: str) -> str:
+def _python_masked(text: str, tokens: list) -> str:
     lines = text.split("\n")
-    for t in python_tokens.generate_tokens(io.StringIO(text, newline="\n").readline):
+    for t in tokens:
         if t.type == python_tokens.COMMENT:
             row, begin = t.start[0] - 1, t.start[1]
             lines[row] = lines[row][:begin] + " " * len(t.string) + lines[row][begin + len(t.string) :]
     return "\n".join(lines)
 
 
+_LAYOUT = {python_tokens.INDENT: "indent", python_tokens.DEDENT: "dedent", python_tokens.NEWLINE: "line"}
+
+
+def _python_canonical(tokens: list) -> tuple[str, str]:
+    """As ``braced.canonical``; indents, dedents and ends of lines are tokens, comments and blank lines are not."""
+    tokens = [t for t in tokens if t.type not in (python_tokens.COMMENT, python_tokens.NL, python_tokens.ENDMARKER)]
+    seen: dict[tuple[str, str], int] = {}
+    plain, shape = [], []
+    for i, t in enumerate(tokens):
+        plain.append(_LAYOUT.get(t.type, t.string))
+        if t.type == python_tokens.NAME and not keyword.iskeyword(t.string):
+            role = "m" if i and tokens[i - 1].string == "." else "f" if i + 1 < len(tokens) and tokens[i + 1].string == "(" else "v"
+            shape.append(f"{role}{seen.setdefault((role, t.string), sum(r == role for r, _ in seen))}")
+        else:
+            shape.append({python_tokens.STRING: "text", python_tokens.NUMBER: "number"}.get(t.type, _LAYOUT.get(t.type, t.string)))
+    return "\x1f".join(plain), "\x1f".join(shape)
+
+
+def _forms(plain: str, shape: str) -> dict:
+    code = lambda x: sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+    return {"tokens": plain.count("\x1f") + bool(plain), "lexical": code(plain), "structural": code(shape)}
+
+
 def _overload(node: ast.FunctionDef | ast.AsyncFunctionDef) -> bool:
     targets = [d.func if isinstance(d, ast.Call) else d for d in node.decorator_list]
     return any(getattr(t, "id", None) == "overload" or getattr(t, "attr", None) == "overload" for t in targets)
@@ -179,7 +205,9 @@ def _python(text: str) -> tuple[str, dict[str, int], list[dict]]:
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         tree = ast.parse(text)
-    masked, entities, found = _python_masked(text), {}, []
+    tokens = list(python_tokens.generate_tokens(io.StringIO(text, newline="\n").readline))
+    masked, entities, found = _python_masked(text, tokens), {}, []
+    places = [t.start for t in tokens]
 
     def count(name: str) -> None:
         entities[name] = entities.get(name, 0) + 1
@@ -200,6 +228,8 @@ def _python(text: str) -> tuple[str, dict[str, int], list[dict]]:
                     found.append({
                         "name": child.name, "qualified_name": ".".join((*chain, child.name)), "kind": kind[:-1], "owner": owner if method else "", "start_line": child.lineno, "end_line": child.end_lineno,
                         "parameters": len(a.posonlyargs) + len(a.args) + len(a.kwonlyargs) + (a.vararg is not None) + (a.kwarg is not None), **_values(m),
+                        "statements": sum(isinstance(x, ast.stmt) for s in child.body for x in ast.walk(s)),
+                        **_forms(*_python_canonical(tokens[bisect_left(places, (child.body[0].lineno, child.body[0].col_offset)) : bisect_left(places, (child.end_lineno, 1 << 30))])),
                     })
                 walk(child, (*chain, child.name), "", True)
             else:
@@ -223,7 +253,7 @@ def _braced(text: str, language: str) -> tuple[str, dict[str, int], list[dict]]:
     found = []
     for c in declared:
         m = braced.measure(source, c.begin, c.end, c.name, c.receivers)
-        found.append({"name": c.name, "qualified_name": f"{c.owner}.{c.name}" if c.owner else c.name, "kind": c.kind, "owner": c.owner, "start_line": source.lines[c.first], "end_line": source.lines[c.last], "parameters": c.parameters, **_values(m)})
+        found.append({"name": c.name, "qualified_name": f"{c.owner}.{c.name}" if c.owner else c.name, "kind": c.kind, "owner": c.owner, "start_line": source.lines[c.first], "end_line": source.lines[c.last], "parameters": c.parameters, **_values(m), "statements": m.statements, **_forms(*braced.canonical(source, c.begin, c.end))})
     return source.masked, entities, found
 
 
@@ -282,3 +312,16 @@ def callables(metrics: DataFrame, keep: list[str]) -> DataFrame:
     same = Window.partitionBy(*keep, "kind", "qualified_name")
     ordinal = F.when(F.count("*").over(same) > 1, F.row_number().over(same.orderBy("place")) - 1)
     return rows.withColumn("ordinal", ordinal)
+
+
+def body_groups(found: DataFrame, keep: list[str], form: str) -> DataFrame:
+    """Groups of bodies of one form: ``(language, form, tokens, statements, occurrences, files, missed)``; ``found`` is from ``callables``.
+
+    ``form`` is ``lexical`` or ``structural``; ``keep`` begins with the language.  Copies collapse map-side, and
+    ``missed`` names the floors that the bodies of a group don't reach.
+    """
+    from sievework.operators.clones import body_floors
+
+    each = found.groupBy(F.col(keep[0]).alias("language"), F.col(form).alias("form"), "tokens", "statements", *keep[1:]).agg(F.count("*").alias("n"), F.max("nloc").alias("nloc"))
+    groups = each.groupBy("language", "form", "tokens", "statements").agg(F.sum("n").alias("occurrences"), F.count("*").alias("files"), F.max("nloc").alias("nloc")).where("occurrences >= 2")
+    return body_floors(groups, F.col("statements"), F.col("tokens"), F.col("nloc")).drop("nloc", "admitted")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,7 +24,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     if root.parent.is_dir():  # the driver itself may run from such an archive
-        archive = os.path.join(tempfile.mkdtemp(prefix="sievework-"), "sievework_package.zip")
+        folder = tempfile.mkdtemp(prefix="sievework-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors may fetch it until the driver ends
+        archive = os.path.join(folder, "sievework_package.zip")
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
             for source in sorted(root.rglob("*.py")):
                 z.write(source, source.relative_to(root.parent))
@@ -37,13 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where the setting is absent (tests)."""
+    """The shared checkpoint folder the cluster names; a temporary one only where the setting is absent and all tasks run in the driver."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sievework-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 

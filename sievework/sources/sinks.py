@@ -15,6 +15,36 @@ def write_ledger(df: DataFrame, path: str, by: list[str]) -> None:
     df.repartition(parts, *[F.col(b) for b in by], salt).write.partitionBy(*by).mode("errorifexists").parquet(path)
 
 
+#: Up to so many rows a ledger is one file (fixed value of the format).
+SINGLE_FILE_ROWS = 50_000
+
+
+def write_laid_out(df: DataFrame, path: str, by: list[str]) -> str:
+    """A ledger in its format's layout: one file up to ``SINGLE_FILE_ROWS`` rows, else one directory a key.  Says which."""
+    if df.limit(SINGLE_FILE_ROWS + 1).count() <= SINGLE_FILE_ROWS:
+        df.coalesce(1).sortWithinPartitions(*by).write.mode("errorifexists").parquet(path)
+        return "single"
+    write_ledger(df, path, by)
+    return "partitioned"
+
+
+def schema_document(df: DataFrame) -> dict[str, str]:
+    """Names and types of a table, for export beside it."""
+    return dict(df.dtypes)
+
+
+def schema_violations(df: DataFrame, schema: dict[str, str], required: list[str]) -> list[str]:
+    """What a table lacks or has too much against a schema, by name; rows aren't read."""
+    have = dict(df.dtypes)
+    return sorted([f"missing:{c}" for c in schema if c not in have] + [f"unknown:{c}" for c in have if c not in schema] + [f"type:{c}" for c in schema if have.get(c, schema[c]) != schema[c]] + [f"required:{c}" for c in required if c not in have])
+
+
+def required_violations(df: DataFrame, key: list[str], required: list[str]) -> DataFrame:
+    """Rows in which a required field is missing: ``(*key, field)``."""
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+    return df.select(*key, F.explode(missing).alias("field"))
+
+
 def finalize_run(spark: SparkSession, directory: str, tables: dict[str, DataFrame], checks: dict[str, Callable[[dict[str, DataFrame]], DataFrame]]) -> None:
     """Write every table, hold the written tables against the checks, and commit the status row last.
 
