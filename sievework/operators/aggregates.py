@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sievework.functions import status as S
 from sievework.functions.numbers import ratio
 from sievework.functions.text import line_is_code, lines
+from sievework.session import cut
 
 #: Positions of a distribution's summary (fixed values).
 POSITIONS = (50, 75, 90, 95, 99)
@@ -57,12 +58,31 @@ def status_rollup(df: DataFrame, by: list[str], statuses: list[str]) -> DataFram
     return rolled.withColumn("metric_status", S.worst(*[F.col(s) for s in statuses]))
 
 
+def running(counts: DataFrame, by: list[str], value: str, n: str, out: str) -> DataFrame:
+    """``counts`` with the running sum of ``n`` in order of ``value``, NULL first, and the group's sum as ``<out>_all``.
+
+    Values are range-partitioned, so a group of any size spreads over many tasks: each range sums its own part, and what
+    stands before it is added from one row a range.
+    """
+    placed = cut(counts.repartitionByRange(*by, F.col(value).asc_nulls_first()).withColumn("_range", F.spark_partition_id()))
+    upto = Window.partitionBy(*by, "_range").orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*[f"_g_{b}" for b in by])
+    ranges = placed.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by], F.col("_range").alias("_g_range")).agg(F.sum(n).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(whole.orderBy("_g_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*[f"_g_{b}" for b in by], "_g_range", before.alias("_before"), F.sum("_sum").over(whole).alias(f"{out}_all"))
+    on = reduce(lambda x, b: x & F.col(b).eqNullSafe(F.col(f"_g_{b}")), by, F.col("_range") == F.col("_g_range"))
+    summed = placed.withColumn("_upto", F.sum(n).over(upto)).join(ranges, on)
+    return summed.withColumn(out, F.col("_upto") + F.col("_before")).drop("_range", "_upto", "_before", "_g_range", *[f"_g_{b}" for b in by])
+
+
 def structural_aggregate(df: DataFrame, by: list[str], value: str, gate: Column) -> DataFrame:
     """Counts all rows; total, mean, lower median and maximum over rows the gate admits."""
-    gated = df.select(*by, F.when(gate, F.col(value)).alias("v"))
-    return gated.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count("v").alias("evaluable"), F.sum("v").alias("total"), F.round(F.avg("v"), 4).alias("mean"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("median"), F.max("v").alias("max"),
+    counts = df.select(*by, F.when(gate, F.col(value)).alias("v")).groupBy(*by, "v").agg(F.count("*").alias("rows"))
+    ranked = running(counts.withColumn("m", F.when(F.col("v").isNotNull(), F.col("rows")).otherwise(0)), by, "v", "m", "upto")
+    total = F.sum(F.col("v") * F.col("m"))
+    return ranked.groupBy(*by).agg(
+        F.sum("rows").alias("n"), F.sum("m").alias("evaluable"), total.alias("total"), F.round(F.try_divide(total, F.sum("m")), 4).alias("mean"),
+        F.min(F.when(F.col("upto") * 2 >= F.col("upto_all"), F.col("v"))).alias("median"), F.max("v").alias("max"),
     )
 
 
@@ -75,10 +95,7 @@ def nothing_measured(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def frequency(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Exact frequencies, running counts and shares of four decimals."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = counts.withColumn("running", F.sum("n").over(upto))
-    return counts.withColumn("share", F.round(F.col("running") / F.sum("n").over(whole), 4))
+    return running(counts, by, "value", "n", "running").select(*by, "value", "n", "running", F.round(F.col("running") / F.col("running_all"), 4).alias("share"))
 
 
 def frequency_head(df: DataFrame, by: list[str], value: str, limit: int) -> DataFrame:
@@ -96,9 +113,7 @@ def distribution(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     """
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(v).alias("field"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")).select(*by, "x.field", "x.v")
     counts = long.groupBy(*by, "field", "v").agg(F.count("*").alias("n")).withColumn("m", F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0))
-    whole = Window.partitionBy(*by, "field")
-    upto = whole.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumn("upto", F.sum("m").over(upto)).withColumn("total", F.sum("m").over(whole))
+    ranked = running(counts, [*by, "field"], "v", "m", "upto").withColumnRenamed("upto_all", "total")
     at = [F.min(F.when(F.col("upto") >= F.greatest(F.ceil(F.col("total") * p / 100), F.lit(1)), F.col("v"))).alias(f"p{p}") for p in POSITIONS]
     return ranked.groupBy(*by, "field").agg(
         F.sum("m").alias("measured"), F.sum(F.col("n") - F.col("m")).alias("unmeasured"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("v").alias("distinct_values"), *at
@@ -146,10 +161,12 @@ def label_counts(df: DataFrame, by: list[str], label: str, vocabulary: list[str]
 
 def sample_profile(df: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Interpolated median, and percentiles by the rounded index ``round_half_even(f * (n - 1))`` of the sorted samples."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    at = [F.max(F.when(F.col("i") == F.bround(F.lit(f) * (F.col("n") - 1)), F.col(value))).alias(k) for k, f in fractions.items()]
-    return ranked.groupBy(*by).agg(F.count("*").alias("samples"), F.median(value).alias("median"), *at)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("m"))
+    ranked = running(counts, by, "v", "m", "upto").withColumnRenamed("upto_all", "n")
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))
+    last = F.col("n") - 1
+    parts = [at(F.bround(F.lit(f) * last)).alias(k) for k, f in fractions.items()]
+    return ranked.groupBy(*by).agg(F.sum("m").alias("samples"), ((at(F.floor(last / 2)) + at(F.ceil(last / 2))) / 2).alias("median"), *parts)
 
 
 def compare_profiles(before: DataFrame, after: DataFrame, keys: list[str], *, least: int, noise: float) -> DataFrame:

@@ -1,7 +1,7 @@
 """Intervals: union, overlap and nesting.
 
 Spans are inclusive integers inside a path.  A path that holds a large share of all spans is cut into blocks
-where that can be done exactly (range joins); the union runs over sorted spans of one path.
+where that can be done exactly: range joins compare inside blocks, and the union merges blocks before paths.
 """
 
 from __future__ import annotations
@@ -10,15 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def span_union(df: DataFrame, path: list[str], start: str, end: str) -> DataFrame:
-    """Overlapping or adjacent spans merged; null or reversed spans are left out."""
-    ok = df.where((F.col(start) <= F.col(end)))
-    before = Window.partitionBy(*path).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*path).orderBy(start, end).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flagged = ok.withColumn("_far", F.max(end).over(before))
-    fresh = F.when(F.col("_far").isNull() | (F.col(start) > F.col("_far") + 1), 1).otherwise(0)
+def span_union(df: DataFrame, path: list[str], start: str, end: str, *, block: int = 256) -> DataFrame:
+    """Overlapping or adjacent spans merged; null or reversed spans are left out.
+
+    Spans are merged in blocks of lines by their start first; what is left of a path is at most one span every other line,
+    however many spans it had, and is merged once more.
+    """
+    ok = df.where(F.col(start) <= F.col(end)).select(*path, F.col(start).alias("start"), F.col(end).alias("end"), F.lit(1).cast("bigint").alias("spans"))
+    inner = _merged(ok.withColumn("_block", F.floor(F.col("start") / block)), [*path, "_block"])
+    return _merged(inner.drop("_block"), path)
+
+
+def _merged(df: DataFrame, by: list[str]) -> DataFrame:
+    upto = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    flagged = df.withColumn("_far", F.max("end").over(before))
+    fresh = F.when(F.col("_far").isNull() | (F.col("start") > F.col("_far") + 1), 1).otherwise(0)
     islands = flagged.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(upto))
-    return islands.groupBy(*path, "_island").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("spans")).drop("_island")
+    return islands.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("spans").alias("spans")).drop("_island")
 
 
 def blocked_range_join(left: DataFrame, right: DataFrame, path: list[str], block: int, condition: Column, l_span: tuple[str, str], r_span: tuple[str, str]) -> DataFrame:
