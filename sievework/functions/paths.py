@@ -22,3 +22,12 @@ def loose_key(key: Column, *, none: tuple[str, ...] = ("", "none", "n/a", "-"))
     """A reference without outer blanks and in lower case; NULL where it is one of the spellings for no reference."""
     plain = F.lower(F.regexp_replace(key, r"^\s+|\s+$", ""))
     return F.when(~plain.isin(*none), plain)
+
+
+def path_fault(path: Column) -> Column:
+    """Why a path isn't a canonical relative one; NULL if it is."""
+    parts = F.split(path, "/")
+    return (
+        F.when(path.isNull() | (path == ""), "empty").when(path.contains("\x00"), "nul").when(path.contains("\\"), "backslash").when(path.startswith("/"), "absolute").when(path.rlike("^[A-Za-z]:"), "drive")
+        .when(F.exists(parts, lambda s: s == ".."), "parent_segment").when(F.exists(parts, lambda s: s == "."), "dot_segment").when(F.exists(parts, lambda s: s == ""), "empty_segment")
+    )
