@@ -74,10 +74,14 @@ def encode_words(words: DataFrame, ranks: bytes) -> DataFrame:
     return words.select("word", "n").mapInArrow(scan, "word string, n long, ids array<int>")
 
 
+#: Ends each word on its way to Python: a code point that is no character, so a text that holds it is split in Python.
+_END = "\ufdd0"
+
+
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text, words)``: the words, or the text where the JVM's Unicode tables are too old for a character of it."""
+    """``(id, text, words)``: the words, each with its end marked, or the text where the JVM's Unicode tables are too old for a character of it."""
     newer = (F.octet_length("text") != F.length("text")) & F.col("text").rlike(r"\p{Cn}")
-    split = F.when(~newer, F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
+    split = F.when(~newer, F.regexp_replace("text", WORD_PATTERN, "$0" + _END))
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("words", split)
     return rows.select("id", F.when(F.col("words").isNull(), F.col("text")).alias("text"), "words")
 
@@ -94,7 +98,15 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Lis
             yield newer.column(0), pa.array([find(t) for t in newer.column(1).to_pylist()], pa.list_(pa.string()))
             batch = batch.filter(pc.invert(left))
         if batch.num_rows:
-            yield batch.column(0), batch.column(2)
+            parts, offsets = _spans(pc.split_pattern(batch.column(2), _END))
+            words = parts.filter(pc.not_equal(parts, ""))  # what follows the last end of each text
+            yield batch.column(0), pa.ListArray.from_arrays(pa.array((offsets - np.arange(len(offsets))).astype(np.int32)), words)
+
+
+def _spans(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """All words in one array, and the offset of each list in it."""
+    offsets = np.asarray(words.offsets)
+    return words.flatten(), (offsets - offsets[0]).astype(np.int64)
 
 
 def word_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,12 +120,6 @@ def word_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _texts(df, id_col, text_col).mapInArrow(scan, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _spans(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
-    """All words in one array, and the offset of each list in it."""
-    offsets = np.asarray(words.offsets)
-    return words.flatten(), (offsets - offsets[0]).astype(np.int64)
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (pos -1) and their cold words in order, whole rows repeated or not -> ``(id, ids)``."""
     held: pa.Table | None = None
