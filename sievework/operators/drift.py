@@ -171,7 +171,7 @@ def type_of(bits: Column) -> Column:
 def _shapes(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """Fields of each file in the batch, by the shapes of its records: ``(*key, seq, fields)``, fields in order with the bits of their types."""
     for batch in batches:
-        bodies, texts, heads = (batch.column(keys + i).to_pylist() for i in (3, 4, 5))
+        bodies, texts, heads = (batch.column(keys + i).to_pylist() for i in (1, 2, 3))
         files = list(zip(*(batch.column(i).to_pylist() for i in range(keys))))
         first: dict[tuple, int] = {}
         shapes: set[tuple] = set()
@@ -253,7 +253,7 @@ def schema_changes(df: DataFrame, *, stream: list[str], run: str, sequence: str,
     )
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)
     n = len(keys)
-    shapes = rows.mapInArrow(lambda batches: _shapes(batches, n), f"{head}, seq {kinds[sequence]}, fields array<struct<field: string, bits: int>>")
+    shapes = rows.select(*keys, "seq", "body", "text", "header").mapInArrow(lambda batches: _shapes(batches, n), f"{head}, seq {kinds[sequence]}, fields array<struct<field: string, bits: int>>")
     # Batches of one file mostly agree on its fields: what is collected is distinct, and merged only where they differ.
     parts = shapes.groupBy(*keys).agg(F.min("seq").alias("seq"), F.collect_set("fields").alias("sets"))
     merged = F.transform(
