@@ -7,18 +7,13 @@ rows reaches its group as one row a task, and no list of occurrences is ever col
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import digest, normal_lines
 from sievework.operators.spans import blocked_range_join
 
-_TOKEN = re.compile(r"[^\W\d]\w*|\d+(?:\.\d+)?|\"[^\"\n]*\"|'[^'\n]*'|[^\w\s]")
 NAMESPACE = "sievework-clone-fingerprint"
 
 
@@ -49,34 +44,6 @@ def occurrence_ids(df: DataFrame, groups: DataFrame, language: str, coordinate:
     return rows.join(groups.select("fingerprint").distinct(), "fingerprint", "left_semi").select(*coordinate, "fingerprint", ident.alias("occurrence_id"))
 
 
-def shape(text: str) -> str:
-    """Token shapes: names by first appearance, literals by class, signs as they are."""
-    seen: dict[str, int] = {}
-    out = []
-    for t in _TOKEN.findall(text):
-        c = t[0]
-        if c.isdigit():
-            out.append("0")
-        elif c in "\"'" and len(t) > 1:
-            out.append("s")
-        elif c.isalpha() or c == "_":
-            out.append(f"v{seen.setdefault(t, len(seen))}")
-        else:
-            out.append(t)
-    return " ".join(out)
-
-
-def with_shape(df: DataFrame, text: str, out: str) -> DataFrame:
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"{out} string"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shapes = [None if t is None else shape(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shapes, pa.string())], names=[*b.schema.names, out])
-
-    return df.mapInArrow(scan, schema)
-
-
 def suppress_dominated(occurrences: DataFrame) -> DataFrame:
     """Groups that another initial group dominates: ``(child, parent)``.
 

@@ -471,23 +471,19 @@ def clone_occurrences(spark, d):
     return C.occurrence_ids(docs, C.group_clones(docs, "lang", "path", content), "lang", ["doc_id"], content)
 
 
-@query()
-def clone_groups_structural(spark, d):
-    files = table(spark, d, "source_files").select("file_id", "detected_language", "subject_key", "source_text").distinct()
-    return C.group_clones(C.with_shape(files, "source_text", "shape"), "detected_language", "subject_key", F.col("shape"))
-
-
-@query()
+@query("SELECT 'C' || p_partkey AS child, 'P' || p_partkey AS parent FROM part WHERE p_partkey % 4 IN (0, 3)")
 def clone_suppression(spark, d):
-    """Blocks nested in files: groups of blocks that are held by an equally large group of whole files."""
-    files = table(spark, d, "source_files").select("file_id", "detected_language", "source_text").distinct()
-    split = F.split(X.normal_lines(F.col("source_text")), "\n\n+")
-    blocks = files.select("file_id", "detected_language", F.posexplode(split).alias("i", "block")).withColumn("start", F.col("i") * 10 + 11).withColumn("end", F.col("i") * 10 + 15)
-    whole = files.select("file_id", "detected_language", F.lit(10).alias("start"), (F.size(split) * 10 + 19).alias("end"), F.col("source_text").alias("block"))
-    rows = blocks.select("file_id", "detected_language", "start", "end", "block").unionByName(whole).where("block <> ''")
-    rows = rows.select(F.col("detected_language").alias("kind"), F.col("file_id").cast("string").alias("path"), "start", "end", F.sha2("block", 256).alias("grp"))
-    many = rows.groupBy("kind", "grp").agg(F.count("*").alias("n")).where("n >= 2").select("kind", "grp")
-    return C.suppress_dominated(rows.join(many, ["kind", "grp"], "left_semi"))
+    """Two groups a part, each in two files: the inner one is dominated if both its bodies lie strictly in bodies of the outer one."""
+    part, k = table(spark, d, "part"), F.col("p_partkey") % 4
+    item = lambda g, f, a, b: F.struct(F.concat(F.lit(g), "p_partkey").alias("grp"), F.lit("method").alias("kind"), F.concat(F.lit(f), "p_partkey").alias("path"), a.alias("start"), b.alias("end"))
+    one = F.lit(1)
+    # 1: the second inner body lies elsewhere; 2: the spans are equal; 3: both inner bodies share a file with two outer ones.
+    outer2, inner2 = F.when(k == 3, "a").otherwise("b"), F.when(k == 1, 60).when(k == 2, 1).when(k == 3, 101).otherwise(10)
+    rows = F.array(
+        item("P", "a", one, F.lit(50)), F.struct(F.concat(F.lit("P"), "p_partkey").alias("grp"), F.lit("method").alias("kind"), F.concat(outer2, "p_partkey").alias("path"), F.when(k == 3, 100).otherwise(1).alias("start"), F.when(k == 3, 150).otherwise(50).alias("end")),
+        item("C", "a", F.when(k == 2, 1).otherwise(10), F.when(k == 2, 50).otherwise(20)), F.struct(F.concat(F.lit("C"), "p_partkey").alias("grp"), F.lit("method").alias("kind"), F.concat(outer2, "p_partkey").alias("path"), inner2.alias("start"), F.when(k == 1, 70).when(k == 2, 50).when(k == 3, 140).otherwise(20).alias("end")),
+    )
+    return C.suppress_dominated(part.select(F.inline(rows)))
 
 
 # -- scope and markers

@@ -107,7 +107,10 @@ def test_diff(spark):
 def test_clones(spark):
     df = spark.createDataFrame([("en", "p", "a  b\r\nc"), ("en", "q", "a b c"), ("en", "p", "a b c"), ("fr", "p", "a b c"), ("en", "p", None), ("en", "p", " ")], "lang string, path string, text string")
     assert rows(C.group_clones(df, "lang", "path", C.canonical_text(F.col("text"))), "language", "occurrences", "paths", "distribution") == [("en", 3, 2, "mixed")]
-    assert C.shape("x = y + 1; x = 'a'") == C.shape("q = r + 20; q = 'bb'") != C.shape("x = x + 1; x = 'a'")
+    for language, text in (("Python", "def f(x):\n    {}\n"), ("JavaScript", "function f(x) {{ {} }}"), ("Go", "func f(x int) {{ {} }}")):
+        forms = [L.facts(text.format(body), language)["callables"][0] for body in ("x = y + 1; x = 'a'", "q = r + 20; q = 'bb'", "x = x + 1; x = 'a'", "x = y + 1;  x = 'a'")]
+        a, b, c, d = [f["structural"] for f in forms]
+        assert a == b == d != c and forms[0]["lexical"] == forms[3]["lexical"] != forms[1]["lexical"]
 
 
 def test_suppression(spark):
