@@ -127,3 +127,43 @@ def test_garbled(spark):
 
 def test_garbled_on_empty(spark):
     assert mojibake.garbled(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
+
+
+def test_run_mappings_outside_the_table_are_learned_from_twins(spark):
+    """A damage no encoding explains: the letters between ASCII ones are replaced by signs that nobody writes together."""
+    damage = {"ö": "αж", "é": "βш"}  # letters of two alphabets in one run
+    spoil = lambda t: "".join(damage.get(c, c) for c in t)
+    words = ["gelöscht", "grölen", "höher", "später", "fröhlich", "böig", "möglich", "öffnet", "café", "idée", "année", "musée", "lycée", "allée", "née"]
+    rows = [(k * 100 + i, w) for k in range(20) for i, w in enumerate(words)]
+    taught = [(9000 + i, spoil(w)) for i, w in enumerate(words) if spoil(w) != w]
+    df = spark.createDataFrame(rows + taught, "doc_id long, text string")
+    found = mojibake.garbled(df, "doc_id", "text")
+    assert {r.id for r in found.collect()} == {i for i, _ in taught} and {r.source for r in found.collect()} == {"twins"}
+    assert {r.doc_id: r.restored for r in mojibake.restore(df, found, "doc_id", "text").collect()} == {9000 + i: w for i, w in enumerate(words) if spoil(w) != w}
+
+
+def test_one_sequence_is_enough_under_a_taught_reading(spark):
+    garble = lambda t: t.encode().decode("cp1252")
+    words = ["gelöscht", "größer", "höher", "naïve", "später"]
+    rows = [(k * 10 + i, w) for k in range(12) for i, w in enumerate(words)] + [(500 + i, garble(w)) for i, w in enumerate(words)]
+    df = spark.createDataFrame([*rows, (900, garble("¬merge")), (901, "Â and Ã sort after Z"), (902, "d'accord «Ã»")], "doc_id long, text string")
+    found = {r.id: r.source for r in mojibake.garbled(df, "doc_id", "text").collect()}
+    assert set(found) == {500, 501, 502, 503, 504, 900} and set(found.values()) == {"twins"}
+
+
+@needs_vocabulary
+def test_repeated_and_null_ids(spark):
+    ranks = tokens.read_ranks(RANKS)
+    df = spark.createDataFrame([(1, "same words, same ids", 7), (1, "same words, same ids", 8), (2, "x﷐y ﷐", 9), (None, "nobody", 1)], "doc_id long, text string, ids int").repartition(3)
+    got = {r.doc_id: list(r.ids) for r in tokens.encode_corpus(df, "doc_id", "text", ranks).collect()}
+    back = tokens.decode_corpus(tokens.encode_corpus(df, "doc_id", "text", ranks), "doc_id", tokens.pieces(spark, ranks))
+    assert {r.doc_id: r.text for r in back.collect()} == {1: "same words, same ids", 2: "x﷐y ﷐", None: "nobody"} and len(got) == 3
+
+
+def test_copies_of_a_file_are_parsed_once_and_judged_alike(spark):
+    from sievework.llm.parsing import parse_files
+
+    rows = [(i, "Python" if i % 2 else "Go", f"a{i}.py", "x = (" if i % 3 else "x = 1", i) for i in range(40)] + [(99, None, None, None, 1)]
+    df = spark.createDataFrame(rows, "file_id long, lang string, path string, text string, valid int")
+    got = {r.file_id: r.valid for r in parse_files(df, ["file_id"], text="text", language="lang", path="path").collect()}
+    assert got == {99: None, **{i: i % 2 == 1 and i % 3 == 0 for i in range(40)}}
