@@ -6,7 +6,6 @@ from collections import Counter
 
 import pytest
 
-from sievework.llm import mojibake
 from sievework.operators.drift import ingest, promote
 from sievework.plans import evidence_queries as E
 
@@ -120,10 +119,3 @@ def test_every_version_step_and_every_year(spark, write):
     d = write("orders", [(dt.date(y, 5, 1), "1-URGENT", float(p)) for y, p in ((1992, 5), (1994, 7), (1995, 7), (1996, 9), (1998, 9))], "o_orderdate date, o_orderpriority string, o_totalprice double")
     assert sorted((r.run_id, r.verdict) for r in E.Q["comparability_verdict"](spark, d).collect()) == [(11, "qualified"), (12, "incomparable"), (13, "comparable")]
     assert sorted((r.year, r.dimension, r.delta) for r in E.Q["metric_deltas"](spark, d).collect()) == [(1994, "revenue", 2.0), (1996, "revenue", 2.0)]
-
-
-def test_a_sure_transformation_is_undone_in_the_whole_document():
-    garble = lambda t: t.encode().decode("cp850")
-    fixes = {mojibake.normal(garble("später—")): ("utf-8", "cp850", 1)}
-    assert mojibake._mend(garble("¬merge später— fiza™") + " café", fixes) == ("¬merge später— fiza™ café", False)
-    assert mojibake._mend("gelˆscht sp‰ter", {"gelˆscht": ("latin-1", "mac_roman", 1)}) == ("gelöscht sp‰ter", True)
