@@ -83,5 +83,15 @@ def queries() -> dict:
     return {"p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates, "p3_ledger": p3_ledger, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_scores": p7_scores, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
+_WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+#: Every run of thirteen words of every text, met by their spelling.
+_P7 = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM d WHERE len(w) >= 13)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM i WHERE len(w) >= 13))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_roundtrip": "SELECT doc_id, true AS same FROM documents"}
+    return {"p6_roundtrip": "SELECT doc_id, true AS same FROM documents", "p7_found": _P7}
