@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values.
+# Endings, folder names, file names and wordings.
 LANGUAGE_OF = {
     "java": "Java", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "ts": "TypeScript", "tsx": "TypeScript",
     "mts": "TypeScript", "cts": "TypeScript", "py": "Python", "pyi": "Python", "go": "Go",
