@@ -66,6 +66,7 @@ class Source:
     pairs: dict[int, int] = field(default_factory=dict)
     opens: dict[int, int] = field(default_factory=dict)
     sound: bool = True
+    whole: int = 0  # tokens up to the last declaration or statement that ends outside all brackets
 
     def at(self, i: int) -> str:
         return self.values[i] if 0 <= i < len(self.values) else ""
@@ -109,6 +110,8 @@ def tokenize(text: str, language: str) -> Source:
     for i, v in enumerate(values):
         if kinds[i] != "p":
             continue
+        if v == ";" and not stack:
+            out.whole = i + 1
         if v in _OPEN:
             stack.append(i)
         elif v in ")]}":
@@ -116,11 +119,22 @@ def tokenize(text: str, language: str) -> Source:
                 out.sound = False
                 break
             out.pairs[stack.pop()] = i
+            if v == "}" and not stack:
+                out.whole = i + 1
     out.sound = out.sound and not stack
     out.opens = {close: begin for begin, close in out.pairs.items()}
     return out
 
 
+def sound_prefix(source: Source) -> Source | None:
+    """What stands before the first bracket that has no partner, up to the last whole declaration; None if nothing does."""
+    n = source.whole
+    if not n:
+        return None
+    pairs = {a: b for a, b in source.pairs.items() if b < n}
+    return Source(source.language, source.kinds[:n], source.values[:n], source.lines[:n], source.masked, pairs, {b: a for a, b in pairs.items()}, True, n)
+
+
 #: Words of Go that never end a statement.
 _KEEPS_LINE = frozenset("if for switch select case default func type struct interface map chan go defer else package import var const range goto".split())
 

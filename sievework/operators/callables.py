@@ -8,7 +8,8 @@ nested and anonymous functions are entities but no rows, and count for nothing a
 Defined results
 ---------------
 * A null text gives no row.  A file that can't be read as its language has status ``failed`` and NULLs, never zero;
-  an empty file is ``complete`` with zeros.  A language without a reader gives ``not_applicable``.
+  an empty file is ``complete`` with zeros.  Of a file with unmatched brackets the whole declarations before them are
+  read (``partial``, ``recovery`` is ``sound_prefix``); its lines are all counted.  A language without a reader gives ``not_applicable``.
 * Rows repeated as a whole come out once; of callables of one identity each gets its place in the file as an ordinal.
 """
 
@@ -245,23 +246,25 @@ def _values(m) -> dict[str, int]:
     return {"decisions": m.decisions, "booleans": m.booleans, "max_condition": m.max_condition, "cyclomatic": 1 + m.decisions + m.booleans, "max_nesting": m.max_nesting, "cognitive": m.cognitive}
 
 
-def _braced(text: str, language: str) -> tuple[str, dict[str, int], list[dict]]:
-    source = braced.tokenize(text, language)
+def _braced(text: str, language: str) -> tuple[str, dict[str, int], list[dict], str | None]:
+    source, recovery = braced.tokenize(text, language), None
     if not source.sound:
-        raise ValueError("brackets don't match")
+        source, recovery = braced.sound_prefix(source), "sound_prefix"
+        if source is None:
+            raise ValueError("brackets don't match")
     declared, entities = braced.declarations(source)
     found = []
     for c in declared:
         m = braced.measure(source, c.begin, c.end, c.name, c.receivers)
         found.append({"name": c.name, "qualified_name": f"{c.owner}.{c.name}" if c.owner else c.name, "kind": c.kind, "owner": c.owner, "start_line": source.lines[c.first], "end_line": source.lines[c.last], "parameters": c.parameters, **_values(m), "statements": m.statements, **_forms(*braced.canonical(source, c.begin, c.end))})
-    return source.masked, entities, found
+    return source.masked, entities, found, recovery
 
 
 def facts(text: str, language: str) -> dict | None:
     """Lines, entities and callables of a file; None if it can't be read as its language."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     try:
-        masked, entities, found = _python(text) if language == "Python" else _braced(text, language)
+        masked, entities, found, recovery = (*_python(text), None) if language == "Python" else _braced(text, language)
     except (SyntaxError, ValueError, RecursionError, MemoryError, KeyError, IndexError, python_tokens.TokenError):
         return None
     raw, bare = text.split("\n"), masked.split("\n")
@@ -272,11 +275,11 @@ def facts(text: str, language: str) -> dict | None:
     total = len(raw) - (raw[-1] == "")
     blank = sum(not line.strip() for line in raw[:total])
     code = sum(is_code)
-    return {"total_physical_lines": total, "blank_lines": blank, "nonblank_lines": total - blank, "code_lines": code, "comment_lines": total - blank - code, "entities": sorted(entities.items()), "callables": found}
+    return {"total_physical_lines": total, "blank_lines": blank, "nonblank_lines": total - blank, "code_lines": code, "comment_lines": total - blank - code, "entities": sorted(entities.items()), "callables": found, "recovery": recovery}
 
 
 def file_metrics(df: DataFrame, keep: list[str], language: str, text: str) -> DataFrame:
-    """``(*keep, status, *LINES, entities, classes_structs, methods_functions, callables)``, one row a file."""
+    """``(*keep, status, recovery, *LINES, entities, classes_structs, methods_functions, callables)``, one row a file."""
     kinds, n = dict(df.dtypes), len(keep)
     columns = ", ".join(f"{k} {kinds[k]}" for k in keep)
     lines = ", ".join(f"{c} int" for c in LINES)
@@ -287,15 +290,15 @@ def file_metrics(df: DataFrame, keep: list[str], language: str, text: str) -> Da
             for lang, source in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist()):
                 known = lang == "Python" or lang in braced.LANGUAGES
                 found = facts(source, lang) if known else None
-                states.append("complete" if found else "failed" if known else "not_applicable")
+                states.append(("partial" if found["recovery"] else "complete") if found else "failed" if known else "not_applicable")
                 out.append(found or {})
-            columns = [pa.array([f.get(c) for f in out], pa.int32()) for c in LINES]
+            columns = [pa.array([f.get("recovery") for f in out], pa.string()), *(pa.array([f.get(c) for f in out], pa.int32()) for c in LINES)]
             columns += [pa.array([f.get("entities") for f in out], pa.map_(pa.string(), pa.int32())), pa.array([f.get("callables") for f in out], pa.list_(_CALLABLE))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(states, pa.string()), *columns], names=[*keep, "status", *LINES, "entities", "callables"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(states, pa.string()), *columns], names=[*keep, "status", "recovery", *LINES, "entities", "callables"])
 
     rows = df.where(F.col(text).isNotNull()).select(*keep, F.col(language).alias("_language"), F.col(text).alias("_text")).distinct()
-    out = rows.mapInArrow(scan, f"{columns}, status string, {lines}, entities map<string,int>, callables array<struct<{_CALLABLE_SQL}>>")
-    total = lambda *names: F.when(F.col("status") == "complete", sum((F.coalesce(F.try_element_at("entities", F.lit(x)), F.lit(0)) for x in names), F.lit(0)))
+    out = rows.mapInArrow(scan, f"{columns}, status string, recovery string, {lines}, entities map<string,int>, callables array<struct<{_CALLABLE_SQL}>>")
+    total = lambda *names: F.when(F.col("status").isin("complete", "partial"), sum((F.coalesce(F.try_element_at("entities", F.lit(x)), F.lit(0)) for x in names), F.lit(0)))
     return out.withColumns({"classes_structs": total("classes", "records", "structs"), "methods_functions": total("module_functions", "class_methods", "receiver_methods")})
 
 

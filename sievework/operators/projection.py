@@ -90,3 +90,15 @@ def explain(df: DataFrame, by: list[str], rules: dict[str, Column]) -> DataFrame
     name = F.coalesce(*[F.when(F.col(f"_{n}") > 0, n) for n in rules], F.lit("nothing_to_explain"))
     number = F.coalesce(*[F.when(F.col(f"_{n}") > 0, F.col(f"_{n}")) for n in rules], F.lit(0))
     return counts.select(*by, name.alias("explanation"), number.alias("rows"))
+
+
+def validation(checks: dict[str, DataFrame], by: list[str]) -> DataFrame:
+    """Rules across the tables of a run: ``(*by, check, rows)``, how many rows break each; rules that hold give nothing.
+
+    Each check is a frame of the rows that break it, with ``by``.
+    """
+    out = None
+    for name, df in checks.items():
+        rows = df.groupBy(*by).agg(F.count("*").alias("rows")).select(*by, F.lit(name).alias("check"), "rows")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -104,6 +104,32 @@ def subject_explanations(spark, d):
     return P.explain(rows, _SUBJECT, {"unread": F.col("read_status") == "failed", "unparsed": F.col("parse_status") == "failed", "recovered": F.col("parse_status").isin("partial", "recovered")})
 
 
+@query("""WITH c AS (SELECT DISTINCT workspace_id, run_id, subject_key FROM contributions), r AS (SELECT DISTINCT workspace_id, run_id FROM contributions),
+m AS (SELECT DISTINCT workspace_id, run_id, subject_key FROM language_metrics), v AS (SELECT DISTINCT recovery_id, workspace_id, run_id, subject_key FROM recoveries WHERE recovery_id IS NOT NULL),
+e AS (SELECT DISTINCT workspace_id, run_id, line_no FROM errors WHERE line_no > 0), h AS (SELECT DISTINCT workspace_id, run_id FROM errors WHERE line_no = 0),
+u AS (SELECT workspace_id, run_id, 'metrics_without_ledger' AS "check" FROM m ANTI JOIN c USING (workspace_id, run_id, subject_key) UNION ALL SELECT workspace_id, run_id, 'ledger_without_metrics' FROM c ANTI JOIN m USING (workspace_id, run_id, subject_key)
+UNION ALL SELECT workspace_id, run_id, 'recovery_without_ledger' FROM v ANTI JOIN c USING (workspace_id, run_id, subject_key) UNION ALL SELECT workspace_id, run_id, 'error_line_without_header' FROM e ANTI JOIN h USING (workspace_id, run_id)
+UNION ALL SELECT workspace_id, run_id, 'errors_without_run' FROM h ANTI JOIN r USING (workspace_id, run_id) UNION ALL SELECT workspace_id, run_id, 'run_without_errors_file' FROM r ANTI JOIN h USING (workspace_id, run_id)
+UNION ALL SELECT workspace_id, run_id, 'failed_read_with_size' FROM (SELECT DISTINCT contribution_id, workspace_id, run_id FROM contributions WHERE read_status = 'failed' AND size_bytes IS NOT NULL)
+UNION ALL SELECT workspace_id, run_id, 'contributed_without_callables' FROM (SELECT DISTINCT contribution_id, workspace_id, run_id FROM contributions WHERE contribution_state = 'contributed' AND callable_count IS NULL))
+SELECT workspace_id, run_id, "check", count(*) AS rows FROM u GROUP BY ALL""")
+def run_validation(spark, d):
+    """Each run's tables against each other."""
+    run, subject = ["workspace_id", "run_id"], ["workspace_id", "run_id", "subject_key"]
+    rows = table(spark, d, "contributions")
+    ledger, metrics = (table(spark, d, t).select(*subject).distinct() for t in ("contributions", "language_metrics"))
+    recovered = table(spark, d, "recoveries").where("recovery_id is not null").select("recovery_id", *subject).distinct()
+    errors = table(spark, d, "errors")
+    lines, heads, runs = errors.where("line_no > 0").select(*run, "line_no").distinct(), errors.where("line_no = 0").select(*run).distinct(), ledger.select(*run).distinct()
+    without = lambda a, b, on: a.join(b, on, "left_anti")
+    return P.validation({
+        "metrics_without_ledger": without(metrics, ledger, subject), "ledger_without_metrics": without(ledger, metrics, subject), "recovery_without_ledger": without(recovered, ledger, subject),
+        "error_line_without_header": without(lines, heads, run), "errors_without_run": without(heads, runs, run), "run_without_errors_file": without(runs, heads, run),
+        "failed_read_with_size": rows.where("read_status = 'failed' and size_bytes is not null").select("contribution_id", *run).distinct(),
+        "contributed_without_callables": rows.where("contribution_state = 'contributed' and callable_count is null").select("contribution_id", *run).distinct(),
+    }, run)
+
+
 def queries() -> dict:
     return R.queries
 

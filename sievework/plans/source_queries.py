@@ -265,7 +265,7 @@ def source_callables(spark, d):
 def callable_reconciliation(spark, d):
     """Whether the rows of a language's callables are as many as its methods and functions."""
     by = ["workspace_id", "detected_language"]
-    rows = _metrics(spark, d).groupBy(*by).agg(F.sum(F.size("callables")).alias("rows"), F.sum("methods_functions").alias("recorded"), F.count_if(F.col("status") == "failed").alias("failed"))
+    rows = _metrics(spark, d).groupBy(*by).agg(F.sum(F.size("callables")).alias("rows"), F.sum("methods_functions").alias("recorded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "partial").alias("partial"))
     return rows.withColumn("outcome", F.when(F.col("recorded").isNull(), "not_evaluable").when(F.col("rows") == F.col("recorded"), "exact").otherwise("residual"))
 
 

@@ -218,6 +218,14 @@ def test_measures_of_braced_languages(language, text, name, want):
     assert {k: c[k] for k in want} == want
 
 
+def test_whole_declarations_before_a_fault(spark):
+    text = "package a\nfunc f(x int) { if x > 0 { g() } }\nfunc h() { if (\n// end"
+    df = spark.createDataFrame([(1, "Go", text), (2, "Java", "class A { void f() {} }\n}"), (3, "JavaScript", "(")], "id long, lang string, text string")
+    got = {r.id: r for r in L.file_metrics(df, ["id"], "lang", "text").collect()}
+    assert (got[1].status, got[1].recovery, got[1].methods_functions, got[1].code_lines, got[1].comment_lines) == ("partial", "sound_prefix", 1, 3, 1)
+    assert (got[2].status, got[2].classes_structs) == ("partial", 1) and (got[3].status, got[3].recovery, got[3].code_lines) == ("failed", None, None)
+
+
 def test_what_cannot_be_read_is_not_zero(spark):
     df = spark.createDataFrame([(1, "Go", "package a {"), (2, "Python", "x ="), (3, "Python", "x = 1"), (4, None, None), (5, "Cobol", "x"), (6, "Java", "")], "id long, lang string, text string")
     assert rows(L.file_metrics(df, ["id"], "lang", "text"), "id", "status", "code_lines", "methods_functions") == [(1, "failed", None, None), (2, "failed", None, None), (3, "complete", 1, 0), (5, "not_applicable", None, None), (6, "complete", 0, 0)]
