@@ -51,17 +51,20 @@ def suppress_dominated(occurrences: DataFrame) -> DataFrame:
     each child occurrence can be given a parent occurrence of its own that strictly holds it.  Containment never
     crosses files, so the pairing splits into files: counts must agree in each, and only files where some span has a
     choice need a matching, done file by file.
+
+    All joins are merges by hint: sizes are guessed from compressed files and not from the rows made of them, and a
+    broadcast by such a guess would bring all groups to the driver.
     """
-    sizes = occurrences.groupBy("grp", "kind").agg(F.count("*").alias("n"))
+    sizes = occurrences.groupBy("grp", "kind").agg(F.count("*").alias("n")).hint("merge")
     sized = occurrences.join(sizes, ["grp", "kind"])
     c = sized.select("kind", "n", "path", F.col("grp").alias("child"), F.col("start").alias("c_start"), F.col("end").alias("c_end"))
     p = sized.select("kind", "n", "path", F.col("grp").alias("parent"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
     holds = (F.col("child") != F.col("parent")) & (F.col("p_start") <= F.col("c_start")) & (F.col("p_end") >= F.col("c_end")) & ((F.col("p_start") < F.col("c_start")) | (F.col("p_end") > F.col("c_end")))
-    pairs = blocked_range_join(c, p, ["kind", "n", "path"], 64, holds, ("c_start", "c_end"), ("p_start", "p_end"))
+    pairs = blocked_range_join(c.hint("merge"), p, ["kind", "n", "path"], 64, holds, ("c_start", "c_end"), ("p_start", "p_end"))
     per_file = pairs.groupBy("child", "parent", "n", "path").agg(F.count("*").alias("pairs"), F.countDistinct("c_start", "c_end").alias("children"), F.countDistinct("p_start", "p_end").alias("parents"))
     forced = per_file.where("pairs = children and children = parents").select("child", "parent", "n", "path", "children")
     open_ = per_file.where("pairs > children and parents >= children").select("child", "parent", "n", "path")
-    chosen = pairs.join(open_, ["child", "parent", "n", "path"], "left_semi").groupBy("child", "parent", "n", "path").applyInPandas(_matching, "child string, parent string, n long, path string, children long")
+    chosen = pairs.join(open_.hint("merge"), ["child", "parent", "n", "path"], "left_semi").groupBy("child", "parent", "n", "path").applyInPandas(_matching, "child string, parent string, n long, path string, children long")
     whole = forced.unionByName(chosen).groupBy("child", "parent", "n").agg(F.sum("children").alias("matched")).where("matched = n")
     return whole.select("child", "parent").distinct()
 

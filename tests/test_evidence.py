@@ -17,6 +17,7 @@ from sievework.operators import hotspots as H
 from sievework.operators import policy as P
 from sievework.operators import scope as K
 from sievework.operators import spans as R
+from sievework.plans.evidence_queries import clone_suppression
 
 
 def rows(df, *columns):
@@ -125,6 +126,14 @@ def test_suppression(spark):
     assert rows(C.suppress_dominated(spark.createDataFrame(short, schema)), "child", "parent") == []
 
 
+def test_suppression_broadcasts_nothing_by_estimate(spark, tmp_path):
+    """Keys of parts take a byte or two in the file, the spans made of them some hundred times that."""
+    spark.range(2000).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    got = clone_suppression(spark, str(tmp_path))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, "child", "parent") == sorted(((f"C{i}", f"P{i}") for i in range(2000) if i % 4 in (0, 3)), key=repr)
+
+
 def test_scope(spark):
     df = spark.createDataFrame([("g", f"p{i}", str(i)) for i in range(500)], "g string, path string, h string")
     a = K.scope_hash(df, ["g"], ["path", "h"]).first()
